@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from firmatlas.functions.text import let
+from firmatlas.functions.text import let, lookup
 from firmatlas.rules import dims
 
 
@@ -17,15 +17,15 @@ def state_of_plz(plz: Column, ranges: Sequence[tuple[int, int, str]] = dims.PLZ_
     for lo, hi, state in ranges:
         table[lo : hi + 1] = [state] * (hi - lo + 1)
     zone = F.regexp_extract(plz, r"^(\d\d)", 1).try_cast("int")
-    return F.try_element_at(F.array(*[F.lit(s).cast("string") for s in table]), zone + 1)
+    listed = F.split(F.lit("|".join(s or "" for s in table)), r"\|")
+    return F.nullif(F.get(listed, zone), F.lit(""))
 
 
 def normalize_state(
     name: Column, states: Sequence[str] = dims.STATES, aliases: Mapping[str, str] = dims.STATE_ALIASES
 ) -> Column:
     table = {**{s.lower(): s for s in states}, **aliases}
-    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.try_element_at(pairs, F.lower(F.trim(name)))
+    return F.try_element_at(lookup(table), F.lower(F.trim(name)))
 
 
 def exclusion_reason(

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from firmatlas.functions import urls
-from firmatlas.functions.text import CLOSE, OPEN, let, strip
+from firmatlas.functions.text import CLOSE, OPEN, let, lookup, strip
 from firmatlas.rules import vocab
 
 _NUMBER_LINK = r"(?i)<a\b[^>]*href\s*=\s*[\"']?\s*(?:tel:|callto:|whatsapp:|https?://[^\"'>]*(?:wa\.me/|phone=))"
@@ -51,7 +51,7 @@ def show_link_numbers(html: Column) -> Column:
 
 
 def _unescape_once(text: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in vocab.ENTITIES.items() for x in pair])
+    named = lookup(vocab.ENTITIES)
 
     def piece(p: Column) -> Column:
         ref = F.regexp_extract(p, r"^(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)", 0)

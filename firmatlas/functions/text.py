@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def lookup(table: Mapping[str, object]) -> Column:
+    """A small constant map, written as one SQL literal to keep the expression tree short."""
+
+    def quote(v: object) -> str:
+        if v is None:
+            return "null"
+        return str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(quote(x) for pair in table.items() for x in pair) + ")")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 

@@ -31,7 +31,8 @@ def retain(rows: DataFrame, at: str, now: Column, days: float) -> DataFrame:
 
 def mask_phone(c: Column) -> Column:
     """Country and area stay readable, the rest is hidden."""
-    return F.regexp_replace(c, r"(?<=^\+?\d{5})\d", "*")
+    head = F.regexp_extract(c, r"^(\+?\d{5})", 1)
+    return F.concat(head, F.regexp_replace(F.substring(c, F.length(head) + 1, F.length(c)), r"\d", "*"))
 
 
 def mask_email(c: Column) -> Column:

@@ -36,11 +36,16 @@ def kth_row(df: DataFrame, keys: Sequence[str], levels: Sequence[str], rank: Col
     return df.join(todo.drop("_k"), [*keys, *fixed], "left_semi")
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], width: int = 1024) -> DataFrame:
-    """Row at index n div 2 of the group sorted by an integer ``value``, then by ``order``."""
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], width: int | None = None) -> DataFrame:
+    """Row at index n div 2 of the group sorted by an integer ``value``, then by ``order``.
+
+    ``width`` adds a first level of value ranges, for values with very many different numbers.
+    """
+    rank = F.floor(F.col("_n") / 2) + 1
+    if width is None:
+        return kth_row(df, keys, [value, *order], rank)
     staged = df.withColumn("_coarse", F.floor(F.col(value) / width))
-    levels = ["_coarse", value, *order]
-    return kth_row(staged, keys, levels, F.floor(F.col("_n") / 2) + 1).drop("_coarse")
+    return kth_row(staged, keys, ["_coarse", value, *order], rank).drop("_coarse")
 
 
 def chunked(
