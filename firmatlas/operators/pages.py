@@ -36,13 +36,16 @@ def page_links(
     )
 
 
-def spread(pages: DataFrame, per_task: int | None = None) -> DataFrame:
-    """Even out CPU-bound page work when a few large files give few splits.
+def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Even out CPU-bound row work when few splits would leave cores idle; large inputs pass unchanged.
 
-    Round-robin on purpose: hashing on the site would put a hot site into one task.
+    Input with at least one split per core is never shuffled. Round-robin on purpose: hashing on the site
+    would put a hot site into one task.
     """
-    tasks = per_task or pages.sparkSession.sparkContext.defaultParallelism * 2
-    return pages.repartition(tasks)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(tasks or cores * 2)
 
 
 def low_text_sites(lines: DataFrame, pages: DataFrame, site: str, limit: int = 15) -> DataFrame:

@@ -201,13 +201,21 @@ def name_hints(spark, sf):
 
 
 def _texts(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("source").alias("company_id"), F.col("doc_id").alias("page_id"), "text", F.lit("").alias("url"))
-    pages = table(spark, sf, "pages").select(F.lit("pages").alias("company_id"), "page_id", H.visible_text(F.col("html")).alias("text"), "url")
+    docs = PG.spread(table(spark, sf, "documents")).select(F.col("source").alias("company_id"), F.col("doc_id").alias("page_id"), "text", F.lit("").alias("url"))
+    pages = _pages(spark, sf).select(F.lit("pages").alias("company_id"), "page_id", H.visible_text(F.col("html")).alias("text"), "url")
     return docs.unionByName(pages).withColumn("page_ord", F.col("page_id"))
 
 
 _TEXTS = f"texts as (select source as company_id, doc_id as page_id, text from documents union all select 'pages', page_id, {sql_text('html')} from pages)"
-_FOUND = f"""{_TEXTS}, m as (select company_id, page_id, [lower(x) for x in regexp_extract_all(text, '{_MAIL}')] as l from texts),
+_W = r"[\p{L}\p{N}_-]"
+_HIDDEN = (
+    r"(?i)([\p{L}\p{N}_.+-]+)\s*(?:" + vocab.EMAIL_AT + r")\s*(" + _W + r"+(?:\s*(?:" + vocab.EMAIL_DOT + r"|\.)\s*" + _W + "+)+)"
+)
+_REBUILT = (
+    f"replace(lower(regexp_extract(x, '{_HIDDEN}', 1) || '@' || regexp_replace(regexp_extract(x, '{_HIDDEN}', 2), "
+    rf"'(?i)\s*(?:{vocab.EMAIL_DOT})\s*', '.', 'g')), ' ', '')"
+)
+_FOUND = f"""{_TEXTS}, m as (select company_id, page_id, [lower(x) for x in regexp_extract_all(text, '{_MAIL}')] || [{_REBUILT} for x in regexp_extract_all(text, '{_HIDDEN}')] as l from texts),
  e as (select company_id, page_id, unnest(l) as email, generate_subscripts(l, 1) as pos from m),
  f as (select * from e where not regexp_matches(email, '{vocab.IMAGE_SUFFIX}'))"""
 
@@ -294,8 +302,8 @@ def phone_nearest_name(spark, sf):
 
 @query("suppression_anti", f"""with {_FOUND},
  flagged as (select email from f join labels on page_id = doc_id where company_id <> 'pages' and toxic = 1),
- hosts as (select regexp_extract(email, '@(.*)$', 1) as host from f where company_id = 'pages')
-select company_id, page_id, email from f where email not in (select email from flagged) and regexp_extract(email, '@(.*)$', 1) not in (select host from hosts)""")
+ hosts as (select regexp_extract(email, '@([^@]*)$', 1) as host from f where company_id = 'pages')
+select company_id, page_id, email from f where email not in (select email from flagged) and regexp_extract(email, '@([^@]*)$', 1) not in (select host from hosts)""")
 def suppression_anti(spark, sf):
     """Objections: addresses in documents flagged as toxic, and all hosts written on pages."""
     found = C.page_emails(_texts(spark, sf)).select("company_id", "page_id", "email")
