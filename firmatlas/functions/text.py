@@ -88,3 +88,8 @@ def right_of(text: Column, end: Column, width: int) -> Column:
 
 def tail(text: Column, width: int) -> Column:
     return F.right(text, F.lit(width))
+
+
+def request_key(**parts: Column) -> Column:
+    """Stable key of a request: hash of its parameters as JSON in name order."""
+    return F.sha1(F.to_json(F.struct(*[parts[name].alias(name) for name in sorted(parts)])))

@@ -48,13 +48,13 @@ def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     return rows.repartition(tasks or cores * 2)
 
 
-def low_text_sites(lines: DataFrame, pages: DataFrame, site: str, limit: int = 15) -> DataFrame:
-    """Sites whose only page has fewer than ``limit`` lines."""
-    per_site = pages.groupBy(site).agg(F.count("*").alias("pages"))
-    counted = lines.groupBy(site).agg(F.count("*").alias("lines"))
+def low_text_sites(pages: DataFrame, site: str, limit: int = 15) -> DataFrame:
+    """Pages and lines per site; ``low_text`` marks sites whose only page has fewer than ``limit`` lines."""
+    lines = F.col("lines") if "lines" in pages.columns else H.lines_of(H.visible_text(F.col("html")))
+    counted = pages.select(site, F.size(lines).alias("_n"))
     return (
-        per_site.join(counted, site, "left")
-        .select(site, "pages", F.coalesce("lines", F.lit(0)).alias("lines"))
+        counted.groupBy(site)
+        .agg(F.count("*").alias("pages"), F.sum("_n").alias("lines"))
         .withColumn("low_text", (F.col("pages") == 1) & (F.col("lines") < limit))
     )
 

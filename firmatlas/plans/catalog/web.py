@@ -17,6 +17,7 @@ from firmatlas.operators.resolve import clusters
 from firmatlas.operators.skew import chunk_window, chunked, running_total
 from firmatlas.plans.catalog.base import SQL_LINKS, SUFFIXES, query, sql_domain, sql_host, sql_page_key, sql_path, sql_query, sql_text, table
 from firmatlas.rules import vocab
+from firmatlas.sinks.tables import reachability
 
 _MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 
@@ -131,10 +132,7 @@ select domain, count(*) as pages, cast(sum(case when text = '' then 0 else len(s
    count(*) = 1 and sum(case when text = '' then 0 else len(string_split(text, chr(10))) end) < 15 as low_text from t group by 1""")
 def low_text_flag(spark, sf):
     rows = _pages(spark, sf).withColumn("domain", urls.registrable_domain(F.col("url"), SUFFIXES))
-    counted = rows.select("domain", F.size(H.lines_of(H.visible_text(F.col("html")))).alias("n"))
-    return counted.groupBy("domain").agg(F.count("*").alias("pages"), F.sum("n").alias("lines")).withColumn(
-        "low_text", (F.col("pages") == 1) & (F.col("lines") < 15)
-    )
+    return PG.low_text_sites(rows, "domain")
 
 
 def _site_links(spark, sf):
@@ -172,10 +170,11 @@ group by 1""")
 def crawl_policy(spark, sf):
     links = PG.page_links(_pages(spark, sf), SUFFIXES)
     # robots rules derived from the pages: each page forbids everyone the area of its second link
-    rules = links.where(F.col("link_no") == 1).select(
-        urls.host(F.col("url")).alias("host"), F.lit("*").alias("agent"), F.col("page_id").alias("rule_no"),
-        F.left(urls.path(F.col("href")), F.lit(3)).alias("path_prefix"), F.lit(False).alias("allow"),
-    ).distinct()
+    rules = (
+        links.where(F.col("link_no") == 1)
+        .groupBy(urls.host(F.col("url")).alias("host"), F.left(urls.path(F.col("href")), F.lit(3)).alias("path_prefix"))
+        .agg(F.min("page_id").alias("rule_no"), F.lit("*").alias("agent"), F.lit(False).alias("allow"))
+    )
     ok = FR.allowed(links.where(F.col("kind") == "internal"), rules, "firmatlas")
     per_target = ok.groupBy("host", "href").agg(F.count("*").alias("n"))
     return per_target.groupBy("host").agg(F.sum("n").alias("permitted"), F.count("*").alias("targets"))
@@ -191,9 +190,8 @@ def name_hints(spark, sf):
     hints = (
         table(spark, sf, "pages")
         .select(urls.registrable_domain(F.col("url"), SUFFIXES).alias("site"), F.regexp_extract(urls.host(F.col("url")), r"([^.]{3,})\.example", 1).alias("h"))
-        .distinct().groupBy("site").agg(F.collect_set("h").alias("names"))
+        .groupBy("site").agg(F.array(F.max("h")).alias("names"))
     )
-    # one name per site label, so the list per site is a handful
     promoted = FR.promote_hints(rows.withColumn("text", F.lit("")), hints, "site")
     return promoted.groupBy("site").agg(
         F.count("*").alias("candidates"), F.count_if("hinted").alias("hinted"), F.min("priority").alias("best")
@@ -410,14 +408,11 @@ with h as (select {sql_host('url')} as host, bool_and(length(html) < 3000) as fa
 select count(*) as sites, count(*) filter (failed) as failed, round(count(*) filter (failed) / count(*), 6) as ratio,
    count(*) >= 5 and count(*) filter (failed) >= 0.8 * count(*) as warn, min(p) filter (failed) as first_failed from h""")
 def reachability_ratio(spark, sf):
+    """Hosts whose pages are all very short play the unreachable sites."""
     hosts = table(spark, sf, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(
         F.bool_and(F.length("html") < 3000).alias("failed"), F.min("page_id").alias("p")
     )
-    n, bad = F.count("*"), F.count_if("failed")
-    return hosts.agg(
-        n.alias("sites"), bad.alias("failed"), F.round(bad / n, 6).alias("ratio"), ((n >= 5) & (bad >= 0.8 * n)).alias("warn"),
-        F.min(F.when(F.col("failed"), F.col("p"))).alias("first_failed"),
-    )
+    return reachability(hosts, F.col("failed"), F.col("p"), F.col("p")).withColumnRenamed("first_error", "first_failed")
 
 
 _LISTED = "'spam-farm.example.org', 'cheap-pills.example.com'"
