@@ -176,3 +176,14 @@ def test_whole_run(spark, tmp_path):
     write_json(saved, str(tmp_path / "leads"))
     again = reexport(spark, str(tmp_path / "leads"), "company_id string, name string, score int, premium boolean", min_score=5)
     assert [r.company_id for r in again.collect()] == ["nord", "sued", "ohne"]
+
+
+def test_page_filter_is_the_same_without_broadcast(spark, monkeypatch):
+    from firmatlas.plans import enrich as EN
+
+    pages, companies, _ = sites.frames(spark)
+    some = companies.where("company_id <> 'sued'")
+    want = sorted((r.page_id, r.text) for r in EN.pages_of(pages, some).select("page_id", "text").collect())
+    monkeypatch.setattr(EN, "BROADCAST_IDS", 0)
+    got = sorted((r.page_id, r.text) for r in EN.pages_of(pages, some).select("page_id", "text").collect())
+    assert got == want and len(got) == 3
