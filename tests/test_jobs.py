@@ -187,3 +187,17 @@ def test_page_filter_is_the_same_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(EN, "BROADCAST_IDS", 0)
     got = sorted((r.page_id, r.text) for r in EN.pages_of(pages, some).select("page_id", "text").collect())
     assert got == want and len(got) == 3
+
+
+def test_employment_evidence_order(spark):
+    from firmatlas.operators import contacts as C
+
+    schema = "company_id string, page_id long, page_ord long, url string, employed array<string>, freelance array<string>"
+    signals = spark.createDataFrame([("a", 9, 9, "u9", ["x"], []), ("b", 1, 1, "u", [], ["f1", "f2"])], schema)
+    people = spark.createDataFrame(
+        [("a", f"P{i}", "Assistenz", (2, i, i, 0, 0)) for i in (10, 9, 11)],
+        "company_id string, name string, role string, first_at struct<group_no:int,page_ord:long,page_id:long,line_no:int,sub_no:int>",
+    )
+    got = {r.company_id: (r.employment_signal, r.employment_evidence) for r in C.employment(signals, people).collect()}
+    assert got["a"] == ("angestellt", ["+ „x“ (u9)", "+ Rolle „Assistenz“: P9", "+ Rolle „Assistenz“: P10"])
+    assert got["b"] == ("frei", ["− „f1“ (u)", "− „f2“ (u)"])
