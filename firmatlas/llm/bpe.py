@@ -5,8 +5,8 @@ bytes and each neighbouring pair stays apart when its bytes are merged. So a tex
 the longest token at a position and stepping back where a pair would have merged; a prefix has only one such
 sequence, hence a position that failed once never needs another visit, and the work is linear in the piece.
 
-Bytes are mapped to Latin-1, so that one Aho-Corasick pass gives the longest token at each position. Pair
-checks are memoised. A piece that is a token as a whole is that token, as in the tiktoken library.
+Bytes are mapped to Latin-1, so that one pass of a pyahocorasick automaton gives the longest token at each
+position. Pair checks are memoised. A piece that is a token as a whole is that token, as in the tiktoken library.
 
 Defined results: null and empty texts have no tokens; special tokens are ordinary text; repeated rows are
 encoded each; other columns pass through, and one that has the name of the result is replaced.
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from firmatlas.llm.common import rows_in_slices, with_column
 
-PIECES_KEPT, PAIRS_KEPT, PIECE_BYTES = 400_000, 1_000_000, 64
+PIECES_KEPT, PAIRS_KEPT, PIECE_BYTES = 250_000, 250_000, 64
 
 
 class Codec:
@@ -43,7 +43,7 @@ class Codec:
             self.token[rank], self.size[rank] = data, len(data)
             self.matches.add_word(data.decode("latin-1"), (rank, len(data) - 1))
         self.matches.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
         self._edges: dict[int, tuple] = {}
         self._known: dict[str, tuple[int, ...]] = {}
@@ -107,13 +107,20 @@ class Codec:
             self._shorter[token] = known
         return known
 
+    def apart(self, a: int, b: int) -> bool:
+        if len(self._pairs) >= PAIRS_KEPT:
+            self._pairs.clear()
+        known = self._pairs[a << 32 | b] = self.edges(a)[0] and self.edges(b)[0] and self.stay_apart(a, b)
+        return known
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         alone = self.ranks.get(piece)
         if alone is not None:
             return (alone,)
-        total, size, pairs, edges = len(piece), self.size, self._pairs, self._edges
+        latin = piece.decode("latin-1")
+        total, size, pairs, shorter = len(latin), self.size, self._pairs, self._shorter
         longest = [-1] * (total + 1)
-        for end, (token, back) in self.matches.iter(piece.decode("latin-1")):
+        for end, (token, back) in self.matches.iter(latin):
             longest[end - back] = token  # ends ascend, so the longest one stays
         failed: set[int] = set()
         out: list[int] = []
@@ -121,17 +128,17 @@ class Codec:
         while at < total:
             while token >= 0:
                 end = at + size[token]
-                if end not in failed and (edges.get(token) or self.edges(token))[0]:
+                if end not in failed:
                     if before < 0:
+                        fits = self.edges(token)[0]
+                    else:
+                        fits = pairs.get(before << 32 | token)
+                        if fits is None:
+                            fits = self.apart(before, token)
+                    if fits:
                         break
-                    apart = pairs.get((before, token))
-                    if apart is None:
-                        if len(pairs) >= PAIRS_KEPT:
-                            pairs.clear()
-                        apart = pairs[before, token] = self.stay_apart(before, token)
-                    if apart:
-                        break
-                token = self.shorter(token)
+                step = shorter.get(token)
+                token = self.shorter(token) if step is None else step
             if token >= 0:
                 out.append(token)
                 at, before, token = end, token, longest[end]
@@ -146,29 +153,34 @@ class Codec:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        known, found = self._known, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                data = piece.encode()
-                ids = self.encode_piece(data)
-                if len(data) <= PIECE_BYTES:
-                    if len(known) >= PIECES_KEPT:
-                        known.clear()
-                    known[piece] = ids
-            found.append(ids)
+        known, pieces = self._known, self.pieces(text)
+        found = list(map(known.get, pieces))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    found[i] = ids = known.get(piece) or self.encode_piece(piece.encode())
+                    if len(piece) <= PIECE_BYTES and len(known) < PIECES_KEPT:
+                        known[piece] = ids
         return list(chain.from_iterable(found))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+
+
+def ranks_in(path: str) -> dict[bytes, int]:
+    """A vocabulary file: token in base64 and rank on each line. It is installed on every machine."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary file (the file is installed on every machine)."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return Codec(ranks, pattern)
+    """One codec per worker process and vocabulary file."""
+    return Codec(ranks_in(path), pattern)
+
+
+@functools.lru_cache(maxsize=2)
+def tokens_by_id(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks_in(path).items()}
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -183,14 +195,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     return docs.mapInArrow(run, _with(docs, out, T.ArrayType(T.IntegerType())))
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(path, pattern)
+        token = tokens_by_id(path).__getitem__
         for batch in batches:
-            data = [made.decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield with_column(batch, out, pa.array(data, type=pa.binary()))
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                data = [b"".join(map(token, x or ())) for x in part.column(ids).to_pylist()]
+                yield with_column(part, out, pa.array(data, type=pa.binary()))
 
     return docs.mapInArrow(run, _with(docs, out, T.BinaryType()))
 

@@ -25,7 +25,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", whole().alias("text"))
-    done = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    done = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
