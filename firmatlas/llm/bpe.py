@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from firmatlas.llm.common import rows_in_slices, with_column
+from firmatlas.llm.common import rows_in_slices, shipped, with_column
 
 PIECES_KEPT, PAIRS_KEPT, PIECE_BYTES = 250_000, 250_000, 64
 
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             ids = [made.encode(t) if t else [] for t in batch.column(text).to_pylist()]
             yield with_column(batch, out, pa.array(ids, type=pa.list_(pa.int32())))
 
-    return docs.mapInArrow(run, _with(docs, out, T.ArrayType(T.IntegerType())))
+    return shipped(docs).mapInArrow(run, _with(docs, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -206,7 +206,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 data = [b"".join(map(token, x or ())) for x in part.column(ids).to_pylist()]
                 yield with_column(part, out, pa.array(data, type=pa.binary()))
 
-    return docs.mapInArrow(run, _with(docs, out, T.BinaryType()))
+    return shipped(docs).mapInArrow(run, _with(docs, out, T.BinaryType()))
 
 
 def _with(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:

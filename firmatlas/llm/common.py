@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-# odd multipliers of the positions in a window, derived from the golden ratio
-_STEPS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(SHINGLE)], dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+# an odd multiplier per position in a window, hashed from the position so that no two orders of words agree
+_STEPS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
@@ -86,3 +92,35 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     if name in batch.schema.names:
         batch = batch.drop_columns([name])
     return batch.append_column(name, values)
+
+
+def packed(sorted_codes: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as compressed differences, byte planes side by side."""
+    steps = np.diff(sorted_codes, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def power_of_two(n: float, least: int) -> int:
+    return 1 << max(least.bit_length() - 1, int(max(n, 1) - 1).bit_length())
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after this package has been given to the Python workers of all executors (once per application).
+
+    The driver packs it into an archive and Spark hands that out, so workers need no path of their own to it.
+    """
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_corpus_operators_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._corpus_operators_shipped = True
+    return df

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmatlas.llm.common import rows_in_slices, with_column
+from firmatlas.llm.common import rows_in_slices, shipped, with_column
 
 SAMPLE_ROWS, WINDOW, WINDOWS_PER_ROW = 3000, 96, 3
 HIDDEN, EPOCHS, BATCH, RATE, LANE, LANES = 8, 6, 128, 0.02, 128, 4096
@@ -205,4 +205,4 @@ def predict(docs: DataFrame, network: Network, text: str = "text", lang: str = "
 
     kept = [f for f in docs.schema.fields if f.name not in (lang, score)]
     added = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType(kept + added))
+    return shipped(docs).mapInArrow(run, T.StructType(kept + added))

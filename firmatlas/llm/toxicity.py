@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmatlas.llm.common import rows_in_slices, with_column
+from firmatlas.llm.common import rows_in_slices, shipped, with_column
 
 SAMPLE_ROWS, STEMS_KEPT, SEED_WEIGHT = 8000, 4000, 0.8
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -196,7 +196,7 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "tox
             yield with_column(with_column(batch, out, scores), clauses, listed)
 
     kept = [f for f in docs.schema.fields if f.name not in (out, clauses)]
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField(clauses, CLAUSES)]))
+    return shipped(docs).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField(clauses, CLAUSES)]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Grammar:
