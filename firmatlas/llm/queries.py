@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmatlas.llm import bpe, decontaminate, language, ngram_join, toxicity
+from firmatlas.llm import bpe, decontaminate, html_content, language, ngram_join, toxicity
 from firmatlas.llm.common import held_out, table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_content.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.array_join("blocks", "\n\n")
+    return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
