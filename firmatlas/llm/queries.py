@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmatlas.llm import bpe, decontaminate, html_content, language, ngram_join, toxicity
+from firmatlas.llm import bpe, decontaminate, html_content, language, language_model, ngram_join, toxicity
 from firmatlas.llm.common import held_out, table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+@query
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
