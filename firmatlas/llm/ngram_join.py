@@ -34,9 +34,9 @@ from firmatlas.operators.resolve import clusters
 from firmatlas.session import write_stage
 
 PERCENT = 80
-FREQUENT, SEEN_TOGETHER = 65_536, 4  # shingles that are ordered last; least documents of a slice that hold one
-FLUSH, SHARD = 2_000_000, 1_000_000  # shingles held by a task before it hands them on; shingles of a shard
-BLOCK, HUBS, GROUP_BYTES = 2000, 64, 4 << 20
+FREQUENT, SEEN_TOGETHER = 262_144, 3  # shingles that are ordered last; least documents of a slice that hold one
+FLUSH, SHARD = 3_000_000, 3_000_000  # shingles held by a task before it hands them on; shingles of a shard
+BLOCK, HUBS, PACK = 2000, 64, 1000
 LEAF, FAN = 16, 4
 
 
@@ -155,6 +155,28 @@ def joined(sets: list[np.ndarray]) -> list[int]:
     return [links.find(i) for i in range(len(sets))]
 
 
+def runs(code: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries (shingle, range of sizes) in order of shingle and size: where a run begins, and how far it reaches.
+
+    A run holds entries of one shingle whose sizes may be those of linked sets, one after the other.
+    """
+    if not len(code):
+        return np.empty(0, bool), most
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    group = np.cumsum(new) << 40
+    reach = np.maximum.accumulate(most + group) - group
+    new[1:] |= PERCENT * least[1:] > 100 * reach[:-1]
+    return new, reach
+
+
+def stars(node: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distinct pairs (node, first node of its run)."""
+    if not len(node):
+        return np.empty((0, 2), np.uint64)
+    hub = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    return np.unique(np.stack([node, hub], axis=1)[node != hub], axis=0)
+
+
 # --- steps over all documents -------------------------------------------------------------------------------------
 
 
@@ -181,24 +203,28 @@ def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int)
     """Blocks of (shingle, node) per shard of the shingles, and links inside the task's own documents."""
     shift = np.uint64(64 - (shards.bit_length() - 1))
 
-    def blocks(codes: list[np.ndarray], nodes: list[int], number: int) -> pa.RecordBatch:
+    def blocks(codes: list[np.ndarray], nodes: list[tuple[int, int]], number: int) -> pa.RecordBatch:
         code = np.concatenate(codes)
-        node = np.repeat(np.array(nodes, dtype=np.uint64), [len(c) for c in codes])
-        order = np.lexsort((node, code))
-        code, node = code[order], node[order]
-        first = np.concatenate([[True], code[1:] != code[:-1]])
-        hub = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        near = np.unique(np.stack([node, hub], axis=1)[node != hub], axis=0)
-        code, node = code[first], node[first]
+        which = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        node, size = np.array([n for n, _ in nodes], dtype=np.uint64), np.array([n for _, n in nodes], dtype=np.int64)
+        order = np.lexsort((node[which], size[which], code))
+        code, which = code[order], which[order]
+        first, reach = runs(code, size[which], size[which])
+        near = stars(node[which], first)
+        starts = np.flatnonzero(first)
+        code, which, beyond = code[starts], which[starts], np.maximum.reduceat(reach, starts)
+        beyond = beyond - size[which]
         shard = (code >> shift).astype(np.int64) if shards > 1 else np.zeros(len(code), np.int64)
         cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)), len(code)]
         out: list[tuple] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            known, at = np.unique(node[a:b], return_inverse=True)
-            out.append((int(shard[a]), packed(code[a:b]), packed(known), zstandard.compress(at.astype(np.uint32).tobytes(), 1)))
+            known, at = np.unique(which[a:b], return_inverse=True)
+            rest = [zstandard.compress(x.astype(np.uint32).tobytes(), 1) for x in (size[known], at, beyond[a:b])]
+            out.append((int(shard[a]), packed(code[a:b]), node[known].tobytes(), *rest))
         if len(near):
-            out.append((number % shards, None, near[:, 0].tobytes(), near[:, 1].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "codes", "nodes", "at"])
+            out.append((number % shards, None, near[:, 0].tobytes(), near[:, 1].tobytes(), None, None))
+        kinds = (pa.int64(), *[pa.binary()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "codes", "nodes", "sizes", "at", "beyond"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, nodes, held, number = [], [], 0, 0
@@ -207,7 +233,7 @@ def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int)
                 found = shingle_set(data)
                 if len(found):
                     codes.append(first_codes(found, common, ranks))
-                    nodes.append(xxhash.xxh3_64_intdigest(found.tobytes(), 0))
+                    nodes.append((xxhash.xxh3_64_intdigest(found.tobytes(), 0), len(found)))
                     held += len(codes[-1])
                     if held >= FLUSH:
                         yield blocks(codes, nodes, number)
@@ -215,29 +241,38 @@ def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int)
         if codes:
             yield blocks(codes, nodes, number)
 
-    return read.mapInArrow(run, "shard long, codes binary, nodes binary, at binary")
+    return read.mapInArrow(run, "shard long, codes binary, nodes binary, sizes binary, at binary, beyond binary")
 
 
 def _connect(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges (u, v) between the nodes of one shard that share a shingle, each to the smallest."""
-    codes, nodes, pairs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
-    for code, node, at in zip(rows["codes"], rows["nodes"], rows["at"], strict=True):
+    """Edges (u, v) between the nodes of one shard that share a shingle and may be of linked sizes."""
+
+    def numbers(data: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(data), np.uint32).astype(np.int64)
+
+    parts, pairs = [], [np.empty((0, 2), np.uint64)]
+    for code, nodes, sizes, at, beyond in rows[["codes", "nodes", "sizes", "at", "beyond"]].itertuples(index=False):
         if code is None:
-            pairs.append(np.stack([np.frombuffer(node, np.uint64), np.frombuffer(at, np.uint64)], axis=1))
+            pairs.append(np.stack([np.frombuffer(nodes, np.uint64), np.frombuffer(sizes, np.uint64)], axis=1))
         else:
-            codes.append(unpacked(code))
-            nodes.append(unpacked(node)[np.frombuffer(zstandard.decompress(at), np.uint32)])
-    code, node = np.concatenate(codes), np.concatenate(nodes)
-    if len(code):
-        order = np.lexsort((node, code))
-        code, node = code[order], node[order]
-        first = np.concatenate([[True], code[1:] != code[:-1]])
-        hub = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs.append(np.stack([node, hub], axis=1)[node != hub])
-    every = np.unique(np.concatenate([*pairs, np.empty((0, 2), np.uint64)]), axis=0).view(np.int64)
+            which, least = numbers(at), numbers(sizes)
+            parts.append((unpacked(code), np.frombuffer(nodes, np.uint64)[which], least[which], least[which] + numbers(beyond)))
+    if parts:
+        code, node, least, most = map(np.concatenate, zip(*parts, strict=True))
+        again = np.isin(code, _repeated(code))
+        code, node, least, most = code[again], node[again], least[again], most[again]
+        order = np.lexsort((node, least, code))
+        first, _ = runs(code[order], least[order], most[order])
+        pairs.append(stars(node[order], first))
+    every = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
     return pd.DataFrame({"u": every[:, 0], "v": every[:, 1]})
 
 
+def _repeated(codes: np.ndarray) -> np.ndarray:
+    ordered = np.sort(codes)
+    return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     """record, cluster: connected components of edges (u, v)."""
     stars = edges.select(F.col("u").alias("record"), F.col("v").alias("token")).union(edges.select("v", "v"))
@@ -309,18 +344,14 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     edges = write_stage(blocks.groupBy("shard").applyInPandas(_connect, "u long, v long").distinct(), "ngram-edges")
 
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    groups = _roots(edges)
+    groups = write_stage(_roots(edges), "ngram-groups")
     sized = groups.join(groups.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumnRenamed("record", "h1")
     near = read.join(classes.join(sized, "h1"), F.col("doc_id") == F.col("rep"))
-    # a repeated id has a row per text: keep the rows of the class itself in one group
-    near = write_stage(near.select("rep", "cluster", "size", "text"), "ngram-near")
-    volume = near.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-volume // GROUP_BYTES))))
+    near = near.select("rep", "cluster", "size", "text")
+    sizes = sized.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-sizes[0] // PACK))))
     small = near.where(F.col("size") <= BLOCK).withColumn("pack", pack).groupBy("pack").applyInPandas(_small_groups, "rep long, component long")
-    found = small
-    large = near.where(F.col("size") > BLOCK)
-    if not large.isEmpty():
-        found = small.union(_large_groups(large))
+    found = small.union(_large_groups(write_stage(near.where(F.col("size") > BLOCK), "ngram-large"))) if sizes[1] > BLOCK else small
     found = write_stage(found, "ngram-components")
     # an id with several texts ties their components together
     repeated = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("h1").alias("texts")).where("texts > 1")
