@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmatlas.llm import bpe, decontaminate, html_content, language, language_model, ngram_join, quality, toxicity
+from firmatlas.llm import bpe, decontaminate, html_content, language, language_model, ngram_join, privacy, quality, toxicity
 from firmatlas.llm.common import held_out, table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,14 @@ def op1_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+@query
+def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(privacy.PATTERNS))
+    counts = [privacy.number(F.col("spans"), kind).alias(f"n_{kind}") for kind in privacy.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(privacy.written(base), 256).alias("base_sha256"), privacy.written(F.col("spans")).alias("spans"))
+
+
 @query
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
