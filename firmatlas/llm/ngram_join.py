@@ -3,9 +3,12 @@
 1. Every document gets its set's size and two 64-bit hashes; equal sets are one class from here on.
 2. Candidates, without loss: linked sets share one of their n - ceil(0.8 n) + 1 first shingles, in any common order.
    The order puts shingles that are frequent in the corpus last (counts of them only choose the order), so that a
-   passage shared by many documents rarely brings them together. Tasks connect their own documents that share such
-   a shingle and hand on one document per shingle; shards of the shingles connect the rest. Connected documents are
-   a candidate group; no link leaves it. Shingles travel in compressed blocks.
+   passage shared by many documents rarely brings them together. Shards of the shingles, which travel in compressed
+   blocks, count how many first shingles two documents share. Of two linked documents the one whose first shingles
+   end earlier can only miss some of them, which gives the least count; pairs below it are dropped. A shingle of more
+   than ``FEW`` documents is not counted but connects them in a star, by sizes that can be linked, inside the task
+   and then in the shard; documents that have such a shingle in common are kept whatever else they share. Connected
+   documents are a candidate group; no link leaves it.
 3. Inside a group, signature trees: documents ordered by size are the leaves' entries; each node holds the OR of
    their bitmaps and the range of their sizes. A dual traversal drops pairs of nodes whose largest possible overlap
    is too small for their sizes, skips documents that are connected already, and verifies what remains exactly.
@@ -37,6 +40,7 @@ PERCENT = 80
 FREQUENT, SEEN_TOGETHER = 262_144, 3  # shingles that are ordered last; least documents of a slice that hold one
 FLUSH, SHARD = 3_000_000, 3_000_000  # shingles held by a task before it hands them on; shingles of a shard
 BLOCK, HUBS, PACK = 2000, 64, 1000
+FEW = 8  # documents of a shingle up to which its pairs are counted
 LEAF, FAN = 16, 4
 
 
@@ -169,6 +173,15 @@ def runs(code: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndar
     return new, reach
 
 
+def group_sizes(code: np.ndarray) -> np.ndarray:
+    """For each entry of an ordered array how many entries equal it."""
+    if not len(code):
+        return np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    sizes = np.diff(np.append(starts, len(code)))
+    return np.repeat(sizes, sizes)
+
+
 def stars(node: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Distinct pairs (node, first node of its run)."""
     if not len(node):
@@ -203,28 +216,43 @@ def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int)
     """Blocks of (shingle, node) per shard of the shingles, and links inside the task's own documents."""
     shift = np.uint64(64 - (shards.bit_length() - 1))
 
-    def blocks(codes: list[np.ndarray], nodes: list[tuple[int, int]], number: int) -> pa.RecordBatch:
+    def blocks(codes: list[np.ndarray], nodes: list[tuple[int, int, int]], number: int) -> pa.RecordBatch:
         code = np.concatenate(codes)
         which = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        node, size = np.array([n for n, _ in nodes], dtype=np.uint64), np.array([n for _, n in nodes], dtype=np.int64)
+        node, size, end = (np.array(x, dtype=np.uint64) for x in zip(*nodes, strict=True))
+        size = size.astype(np.int64)
         order = np.lexsort((node[which], size[which], code))
         code, which = code[order], which[order]
-        first, reach = runs(code, size[which], size[which])
-        near = stars(node[which], first)
+        # equal sets stand beside each other: once is enough
+        once = np.concatenate([[True], (code[1:] != code[:-1]) | (node[which[1:]] != node[which[:-1]])])
+        code, which = code[once], which[once]
+        many = group_sizes(code) > FEW
+        first, reach = runs(code[many], size[which[many]], size[which[many]])
+        near = stars(node[which[many]], first)
         starts = np.flatnonzero(first)
-        code, which, beyond = code[starts], which[starts], np.maximum.reduceat(reach, starts)
-        beyond = beyond - size[which]
+        keep = ~many
+        keep[np.flatnonzero(many)[starts]] = True
+        beyond = np.zeros(len(code), dtype=np.int64)  # 0: one document; else how far a run of many goes, plus 1
+        if len(starts):
+            beyond[np.flatnonzero(many)[starts]] = np.maximum.reduceat(reach, starts) - size[which[many]][starts] + 1
+        code, which, beyond = code[keep], which[keep], beyond[keep]
         shard = (code >> shift).astype(np.int64) if shards > 1 else np.zeros(len(code), np.int64)
         cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)), len(code)]
         out: list[tuple] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             known, at = np.unique(which[a:b], return_inverse=True)
             rest = [zstandard.compress(x.astype(np.uint32).tobytes(), 1) for x in (size[known], at, beyond[a:b])]
-            out.append((int(shard[a]), packed(code[a:b]), node[known].tobytes(), *rest))
+            out.append((int(shard[a]), packed(code[a:b]), node[known].tobytes(), end[known].tobytes(), *rest))
         if len(near):
-            out.append((number % shards, None, near[:, 0].tobytes(), near[:, 1].tobytes(), None, None))
-        kinds = (pa.int64(), *[pa.binary()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "codes", "nodes", "sizes", "at", "beyond"])
+            out.append((number % shards, None, near[:, 0].tobytes(), near[:, 1].tobytes(), None, None, None))
+        kinds = (pa.int64(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "codes", "nodes", "ends", "sizes", "at", "beyond"])
+
+    def place(code: np.uint64) -> int:
+        """Where a shingle stands in the common order, as a number (cut to 64 bits, so ties are possible)."""
+        at = int(np.searchsorted(common, code))
+        rank = int(ranks[at]) if at < len(common) and common[at] == code else 0
+        return rank << 56 | int(code) >> 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, nodes, held, number = [], [], 0, 0
@@ -233,7 +261,7 @@ def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int)
                 found = shingle_set(data)
                 if len(found):
                     codes.append(first_codes(found, common, ranks))
-                    nodes.append((xxhash.xxh3_64_intdigest(found.tobytes(), 0), len(found)))
+                    nodes.append((xxhash.xxh3_64_intdigest(found.tobytes(), 0), len(found), place(codes[-1][-1])))
                     held += len(codes[-1])
                     if held >= FLUSH:
                         yield blocks(codes, nodes, number)
@@ -241,31 +269,57 @@ def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int)
         if codes:
             yield blocks(codes, nodes, number)
 
-    return read.mapInArrow(run, "shard long, codes binary, nodes binary, sizes binary, at binary, beyond binary")
+    return read.mapInArrow(run, "shard long, codes binary, nodes binary, ends binary, sizes binary, at binary, beyond binary")
+
+
+PAIRS = "u long, v long, shared long, least long"
 
 
 def _connect(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges (u, v) between the nodes of one shard that share a shingle and may be of linked sizes."""
+    """(u, v, shared, least): pairs of nodes that share first shingles of the shard; ``least`` is 0 in a star."""
 
     def numbers(data: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(data), np.uint32).astype(np.int64)
 
-    parts, pairs = [], [np.empty((0, 2), np.uint64)]
-    for code, nodes, sizes, at, beyond in rows[["codes", "nodes", "sizes", "at", "beyond"]].itertuples(index=False):
+    parts, stars_found = [], [np.empty((0, 2), np.uint64)]
+    for code, nodes, ends, sizes, at, beyond in rows[["codes", "nodes", "ends", "sizes", "at", "beyond"]].itertuples(index=False):
         if code is None:
-            pairs.append(np.stack([np.frombuffer(nodes, np.uint64), np.frombuffer(sizes, np.uint64)], axis=1))
+            stars_found.append(np.stack([np.frombuffer(nodes, np.uint64), np.frombuffer(ends, np.uint64)], axis=1))
         else:
-            which, least = numbers(at), numbers(sizes)
-            parts.append((unpacked(code), np.frombuffer(nodes, np.uint64)[which], least[which], least[which] + numbers(beyond)))
+            which = numbers(at)
+            parts.append((unpacked(code), np.frombuffer(nodes, np.uint64)[which], np.frombuffer(ends, np.uint64)[which], numbers(sizes)[which], numbers(beyond)))
+    counted = []
     if parts:
-        code, node, least, most = map(np.concatenate, zip(*parts, strict=True))
+        code, node, end, size, beyond = map(np.concatenate, zip(*parts, strict=True))
         again = np.isin(code, _repeated(code))
-        code, node, least, most = code[again], node[again], least[again], most[again]
-        order = np.lexsort((node, least, code))
-        first, _ = runs(code[order], least[order], most[order])
-        pairs.append(stars(node[order], first))
-    every = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
-    return pd.DataFrame({"u": every[:, 0], "v": every[:, 1]})
+        code, node, end, size, beyond = code[again], node[again], end[again], size[again], beyond[again]
+        order = np.lexsort((node, size, code))
+        order = order[np.concatenate([[True], (code[order][1:] != code[order][:-1]) | (node[order][1:] != node[order][:-1])])] if len(order) else order
+        code, node, end, size, beyond = code[order], node[order], end[order], size[order], beyond[order]
+        many = (group_sizes(code) > FEW) | np.isin(code, code[beyond > 0])
+        first, _ = runs(code[many], size[many], size[many] + np.maximum(beyond[many] - 1, 0))
+        stars_found.append(stars(node[many], first))
+        code, node, end, size = code[~many], node[~many], end[~many], size[~many]
+        for gap in range(1, FEW):
+            i = np.flatnonzero(code[gap:] == code[:-gap])
+            j = i + gap
+            i, j = (np.where(node[i] > node[j], x, y) for x, y in ((i, j), (j, i)))
+            fits = (100 * size[i] >= PERCENT * size[j]) & (100 * size[j] >= PERCENT * size[i])
+            i, j = i[fits], j[fits]
+            counted.append(np.stack([node[i], node[j], _least_shared(size[i], size[j], end[i], end[j]).astype(np.uint64)], axis=1))
+    star = np.unique(np.concatenate(stars_found), axis=0).view(np.int64)
+    pairs, seen = np.unique(np.concatenate([*counted, np.empty((0, 3), np.uint64)]), axis=0, return_counts=True)
+    pairs = pairs.view(np.int64)
+    none = np.zeros(len(star), np.int64)
+    return pd.DataFrame({"u": np.append(pairs[:, 0], star[:, 0]), "v": np.append(pairs[:, 1], star[:, 1]), "shared": np.append(seen, none), "least": np.append(pairs[:, 2], none)})
+
+
+def _least_shared(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """First shingles that linked sets of sizes a and b have in common at least: of the set whose own end earlier,
+    all but those that the link allows it to miss."""
+    overlap = -(-PERCENT * (a + b) // (100 + PERCENT))
+    of_a, of_b = (overlap - -(-PERCENT * n // 100) + 1 for n in (a, b))
+    return np.maximum(np.where(end_a < end_b, of_a, np.where(end_b < end_a, of_b, np.minimum(of_a, of_b))), 1)
 
 
 def _repeated(codes: np.ndarray) -> np.ndarray:
@@ -341,7 +395,14 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     shards = power_of_two(total * (100 - PERCENT) / 100 / SHARD, 16)
     blocks = _shards(read.where("doc_id is not null"), common, ranks, shards)
-    edges = write_stage(blocks.groupBy("shard").applyInPandas(_connect, "u long, v long").distinct(), "ngram-edges")
+    pairs = write_stage(blocks.groupBy("shard").applyInPandas(_connect, PAIRS), "ngram-pairs")
+    # a count is complete unless both documents are in stars: they may share shingles that were not counted
+    starred = pairs.where("least = 0")
+    hot = starred.select(F.col("u").alias("w")).union(starred.select("v")).distinct()
+    sums = pairs.where("least > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    enough = sums.where("shared >= least").select("u", "v")
+    unsure = sums.where("shared < least").select("u", "v").join(hot.withColumnRenamed("w", "u"), "u", "left_semi").join(hot.withColumnRenamed("w", "v"), "v", "left_semi").select("u", "v")
+    edges = write_stage(enough.union(unsure).union(starred.select("u", "v").distinct()), "ngram-edges")
 
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     groups = write_stage(_roots(edges), "ngram-groups")
