@@ -155,3 +155,26 @@ def _unsigned(code: str):
 def _unsigned_order(codes: str):
     flip = F.lit(-(1 << 63))
     return F.transform(F.sort_array(F.transform(codes, lambda c: c.bitwiseXOR(flip))), lambda c: c.bitwiseXOR(flip))
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT, codes_sent: int = CODES_SENT) -> DataFrame:
+    """``docs`` without those that contain an item; rows pass or go whole, with all their columns."""
+    sets = item_sets(shipped(items), item_id, item_text)
+    if sets.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0] > codes_sent:
+        keyed = docs.withColumn("_row", F.xxhash64(text))
+        hits = search(keyed.select("_row", text).distinct(), items, "_row", text, item_id, item_text, percent, codes_sent)
+        return keyed.join(hits.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    codes = [np.array(r["codes"], dtype=np.int64).view(np.uint64) for r in sets.collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = partitions(codes, percent)
+
+        def hit(data: str | None) -> bool:
+            found = shingle_set(data.encode() if data else None)
+            near = set().union(*[p.candidates(found) for p in parts]) if len(found) else set()
+            return any(shared_codes(codes[i], found) >= least_shared(len(codes[i]), percent) for i in near)
+
+        for batch in rows_in_slices(batches, text):
+            yield batch.filter(pa.array([not hit(t) for t in batch.column(text).to_pylist()], type=pa.bool_()))
+
+    return shipped(docs).mapInArrow(run, docs.schema)
