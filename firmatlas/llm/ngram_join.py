@@ -38,7 +38,7 @@ from firmatlas.session import write_stage
 
 PERCENT = 80
 FREQUENT, SEEN_TOGETHER = 262_144, 3  # shingles that are ordered last; least documents of a slice that hold one
-FLUSH, SHARD = 3_000_000, 3_000_000  # shingles held by a task before it hands them on; shingles of a shard
+FLUSH, SHARD = 1_000_000, 600_000  # shingles held by a task before it hands them on; shingles of a shard
 BLOCK, HUBS, PACK = 2000, 64, 1000
 FEW = 8  # documents of a shingle up to which its pairs are counted
 LEAF, FAN = 16, 4
