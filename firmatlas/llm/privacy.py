@@ -107,27 +107,29 @@ def _joined_small(left: DataFrame, right: DataFrame, on: str, how: str = "inner"
     return left.join(F.broadcast(right) if right.count() <= SENT_ROWS else right, on, how)
 
 
+def words_in(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, share: words that disclose an entity; ``docs`` has text and base."""
-    seen = docs.where(F.size("base") > 0).select(F.xxhash64("text").alias("copy"), "text", F.explode("base").alias("span"))
-    around = F.concat(
-        F.substring("text", F.greatest(F.col("span.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("span.start"), F.lit(CONTEXT))),
-        F.lit(" "),
-        F.substring("text", F.col("span.end") + 1, F.lit(CONTEXT)),
-    )
-    beside = seen.select("copy", entity(F.col("span")).alias("entity"), F.lower(around).alias("around"))
-    beside = beside.select("copy", "entity", F.xxhash64("around").alias("surrounding"), F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0)))).alias("term"))
-    # surroundings and documents of a pair, each counted once
-    places = beside.groupBy("entity", "term", "surrounding").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("surroundings"))
-    pairs = beside.groupBy("entity", "term", "copy").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = write_stage(pairs.join(places.where(F.col("surroundings") >= SURROUNDINGS), ["entity", "term"]), "privacy-pairs")
-    wanted = write_stage(pairs.select("term").distinct(), "privacy-terms")
-    texts = docs.select("text")
-    words = texts.select(F.xxhash64("text").alias("copy"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    # equal texts count once, on both sides
-    held = _joined_small(words, wanted, "term").groupBy("term", "copy").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("with_term"))
-    entities = seen.select("copy", entity(F.col("span")).alias("entity")).groupBy("entity", "copy").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = texts.agg(F.count("*").alias("n")).first()["n"]
+    text = F.col("text")
+
+    def beside(span: Column) -> Column:
+        left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+        around = F.concat(left, F.lit(" "), F.substring(text, span["end"] + 1, F.lit(CONTEXT)))
+        told = F.struct(entity(span).alias("entity"), F.xxhash64(F.lower(around)).alias("surrounding"), words_in(around).alias("words"))
+        return let(told, lambda t: F.transform(t["words"], lambda w: F.struct(t["entity"].alias("entity"), w.alias("term"), t["surrounding"].alias("surrounding"))))
+
+    seen = docs.where(F.size("base") > 0).withColumn("near", F.array_distinct(F.flatten(F.transform("base", beside))))
+    # a pair counts once in a document, however often it stands there
+    once = F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))
+    together = seen.select(F.explode(once).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("together"))
+    places = seen.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term", "p.surrounding").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("surroundings"))
+    pairs = together.join(places.where(F.col("surroundings") >= SURROUNDINGS), ["entity", "term"])
+    held = docs.select(F.explode(words_in(text)).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    entities = seen.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    total = docs.agg(F.count("*").alias("n")).first()["n"]
     told = pairs.join(held, "term").join(entities, "entity")
     share = F.col("together") / F.col("with_term")
     told = told.withColumn("share", share).where((share >= DISCLOSURE) & (F.log2(share * F.lit(float(max(total, 1))) / F.col("with_entity")) >= BITS))
@@ -138,7 +140,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with all spans of each text in order: array<struct<start, kind, end, raw, removed>>."""
     read = docs.withColumn("_text", whole(text)).withColumn("_base", base_spans(F.col("_text")))
     terms = write_stage(disclosing_terms(read.select(F.col("_text").alias("text"), F.col("_base").alias("base"))), "privacy-disclosing")
-    words = read.select(F.xxhash64("_text").alias("_copy"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    words = read.select(F.xxhash64("_text").alias("_copy"), F.explode(words_in(F.col("_text"))).alias("term"))
     # a text holds no more different terms than words
     held = _joined_small(words, terms, "term").groupBy("_copy").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= REMOVAL, F.col("term"))).alias("_removed"))
     held = write_stage(held, "privacy-documents")
