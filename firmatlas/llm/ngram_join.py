@@ -366,20 +366,23 @@ def _large_groups(near: DataFrame) -> DataFrame:
     local = write_stage(local, "ngram-blocks")
     label = clusters(local.select(F.col("rep").alias("record"), F.col("component").alias("token"))).select(F.col("record").alias("rep"), F.col("cluster").alias("label"))
     label = write_stage(label, "ngram-labels")
-    named = near.join(label, "rep")
+    # ids only, until it is known which documents have to meet
+    named = write_stage(near.drop("text").join(label, "rep"), "ngram-named")
     counts = named.groupBy("cluster", "label").count()
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), (F.sum("count") - F.max("count")).alias("outside"))
-    if main.where("labels > 1").isEmpty():
+    main = write_stage(main.where("labels > 1"), "ngram-main")
+    if main.isEmpty():
         return label.select("rep", F.col("label").alias("component"))
     # every document meets every straggler: by blocks of both
-    named = named.join(main.where("labels > 1"), "cluster")
+    named = named.join(main, "cluster")
     outer = F.ceil(F.col("outside") / BLOCK)
     right = named.where("label <> main").withColumn("other", F.pmod(F.xxhash64("rep"), outer))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("side", F.lit(1))
     left = named.withColumn("other", F.explode(F.sequence(F.lit(0), outer - 1))).withColumn("side", F.lit(0))
-    columns = ["cluster", "block", "other", "side", "rep", "label", "text"]
-    met = left.select(columns).union(right.select(columns)).groupBy("cluster", "block", "other").applyInPandas(_across, "rep long, component long")
-    edges = label.select("rep", F.col("label").alias("component")).union(met)
+    columns = ["cluster", "block", "other", "side", "rep", "label"]
+    meeting = left.select(columns).union(right.select(columns)).join(near.select("rep", "text"), "rep")
+    met = meeting.groupBy("cluster", "block", "other").applyInPandas(_across, "rep long, component long")
+    edges = write_stage(label.select("rep", F.col("label").alias("component")).union(met), "ngram-met")
     return clusters(edges.select(F.col("rep").alias("record"), F.col("component").alias("token"))).select(F.col("record").alias("rep"), F.col("cluster").alias("component"))
 
 
@@ -410,9 +413,11 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     near = read.join(classes.join(sized, "h1"), F.col("doc_id") == F.col("rep"))
     near = near.select("rep", "cluster", "size", "text")
     sizes = sized.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    if sizes[1] > BLOCK:  # these texts are needed more than once
+        near = write_stage(near, "ngram-near")
     pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-sizes[0] // PACK))))
     small = near.where(F.col("size") <= BLOCK).withColumn("pack", pack).groupBy("pack").applyInPandas(_small_groups, "rep long, component long")
-    found = small.union(_large_groups(write_stage(near.where(F.col("size") > BLOCK), "ngram-large"))) if sizes[1] > BLOCK else small
+    found = small.union(_large_groups(near.where(F.col("size") > BLOCK))) if sizes[1] > BLOCK else small
     found = write_stage(found, "ngram-components")
     # an id with several texts ties their components together
     repeated = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("h1").alias("texts")).where("texts > 1")
