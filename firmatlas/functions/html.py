@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from firmatlas.rules import vocab
 _NUMBER_LINK = r"(?i)<a\b[^>]*href\s*=\s*[\"']?\s*(?:tel:|callto:|whatsapp:|https?://[^\"'>]*(?:wa\.me/|phone=))"
 
 
+# named character references, from the standard table
+NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+
+
 def drop_opaque(html: Column) -> Column:
     """Remove comments and elements whose content is not shown."""
     out = F.regexp_replace(html, rf"[{OPEN}{CLOSE}]", "")
@@ -51,7 +56,7 @@ def show_link_numbers(html: Column) -> Column:
 
 
 def _unescape_once(text: Column) -> Column:
-    named = lookup(vocab.ENTITIES)
+    named = lookup(NAMED)
 
     def piece(p: Column) -> Column:
         ref = F.regexp_extract(p, r"^(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)", 0)

@@ -49,7 +49,7 @@ def spans(text: Column, pattern: str) -> Column:
     """All matches with character offsets: array<struct<start, end, raw>>.
 
     Spark returns match texts only, so matches are marked with two control characters, the text is
-    split there, and a running length gives the offsets. Input must not hold those characters.
+    split there, and a running length gives the offsets. Those characters in the text become spaces.
     """
 
     def fold(pieces: Column) -> Column:
@@ -72,7 +72,7 @@ def spans(text: Column, pattern: str) -> Column:
             F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda a: a["out"]
         )
 
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
     return let(F.split(marked, OPEN), fold)
 
 

@@ -155,12 +155,19 @@ def resolve(base: Column, href: Column) -> Column:
         )
 
     def fold(joined: Column) -> Column:
-        # every round folds one `name/..` pair per run; links nest no deeper than this
-        out = F.regexp_replace(joined, r"(?<=/)(?:\./)+|(?<=/)\.$", "")
-        for _ in range(6):
-            out = F.regexp_replace(out, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\.(?:/|$)", "/")
-        out = F.regexp_replace(out, r"^([^:/?#]+://[^/?#]*)(?:/\.\.)+(?=/|$)", "$1")
-        return F.when(joined.rlike(r"/\.\.?(?:/|$)"), out).otherwise(joined)
+        origin = F.regexp_extract(joined, r"^([^:/?#]+://[^/?#]*)", 1)
+        segments = F.split(F.regexp_extract(joined, r"^[^:/?#]+://[^/?#]*/([^?#]*)", 1), "/")
+        rest = F.regexp_extract(joined, r"^[^?#]*(.*)$", 1)
+
+        def step(done: Column, segment: Column) -> Column:
+            up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+            return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.array_append(done, segment))
+
+        # an address that ends in a dot segment names a folder
+        ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+        folded = F.aggregate(ended, F.expr("cast(array() as array<string>)"), step)
+        whole = F.concat(origin, F.lit("/"), F.array_join(folded, "/"), rest)
+        return F.when(joined.rlike(r"^[^:/?#]+://[^/?#]*(?:/[^?#]*)?/\.\.?(?:[/?#]|$)"), whole).otherwise(joined)
 
     return let(let(F.regexp_replace(strip(href), r"#.*$", ""), join), fold)
 

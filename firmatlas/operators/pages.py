@@ -36,18 +36,6 @@ def page_links(
     )
 
 
-def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Even out CPU-bound row work when few splits would leave cores idle; large inputs pass unchanged.
-
-    Input with at least one split per core is never shuffled. Round-robin on purpose: hashing on the site
-    would put a hot site into one task.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(tasks or cores * 2)
-
-
 def low_text_sites(pages: DataFrame, site: str, limit: int = 15) -> DataFrame:
     """Pages and lines per site; ``low_text`` marks sites whose only page has fewer than ``limit`` lines."""
     lines = F.col("lines") if "lines" in pages.columns else H.lines_of(H.visible_text(F.col("html")))

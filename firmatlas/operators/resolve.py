@@ -27,7 +27,7 @@ def record_keys(companies: DataFrame, record: str = "ord") -> DataFrame:
     return companies.select(F.col(record).alias("record"), F.explode(keys).alias("token"))
 
 
-def clusters(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
+def clusters(pairs: DataFrame) -> DataFrame:
     """record, cluster: connected records, named by their smallest record.
 
     Records meet at the smallest record of each key, so a key held by a third of all records adds one
@@ -43,7 +43,7 @@ def clusters(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
         .distinct()
     )
     edges, seen = cut_lineage(edges), None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -54,8 +54,6 @@ def clusters(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     records = pairs.select("record").distinct()
     return records.join(edges.withColumnRenamed("u", "record"), "record", "left").select(
         "record", F.coalesce("v", "record").alias("cluster")
@@ -103,17 +101,32 @@ def dedupe_companies(companies: DataFrame) -> DataFrame:
     return merge_records(staged.join(linked, "ord")).drop("cluster")
 
 
-def unseen(batch: DataFrame, seen: DataFrame, id_col: str = "place_id", domain: str = "domain") -> DataFrame:
-    """Records whose id and domain were not processed before, one per id and per domain in the batch."""
-    fresh = batch.join(seen.select(id_col).distinct(), id_col, "left_anti").join(
-        seen.where(F.col(domain).isNotNull()).select(domain).distinct(), domain, "left_anti"
-    )
-    names = [c for c in fresh.columns if c != id_col]
-    one_id = fresh.groupBy(id_col).agg(F.min_by(F.struct(*names), "ord").alias("_r")).select(id_col, "_r.*")
-    with_domain = one_id.where(F.col(domain).isNotNull())
-    rest = [c for c in with_domain.columns if c != domain]
-    one_domain = with_domain.groupBy(domain).agg(F.min_by(F.struct(*rest), "ord").alias("_r")).select(domain, "_r.*")
-    return one_id.where(F.col(domain).isNull()).unionByName(one_domain)
+def unseen(batch: DataFrame, seen: DataFrame, id_col: str = "place_id", domain: str = "domain", order: str = "ord") -> DataFrame:
+    """Records whose id and domain were not processed before, read in the order of ``order`` (unique per record).
+
+    A record is taken if no seen record and no earlier taken one has its id or its domain; a record that is left out
+    marks neither. A missing id or domain matches nothing. Each round takes the records that come first among all
+    that are left with their id and with their domain, and drops what they exclude, until none is left; a round
+    costs two partial aggregates, whatever share of the records one key holds.
+    """
+    keys = [id_col, domain]
+    left = batch
+    for k in keys:
+        left = left.join(seen.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+    left, taken = cut_lineage(left.select(batch.columns)), None
+    while not left.isEmpty():
+        told = left
+        for k in keys:
+            first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_{k}"))
+            told = told.join(first, k, "left")
+        ahead = [F.coalesce(F.col(order) == F.col(f"_{k}"), F.lit(True)) for k in keys]
+        now = cut_lineage(told.where(ahead[0] & ahead[1]).select(batch.columns))
+        taken = now if taken is None else taken.unionByName(now)
+        left = left.join(now.select(order), order, "left_anti")
+        for k in keys:
+            left = left.join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+        left = cut_lineage(left.select(batch.columns))
+    return left if taken is None else taken
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -89,10 +89,12 @@ def retention_filter(spark, sf):
 @query("unseen_companies", """
 with b as (select event_id as ord, user_id || '/' || strftime(ts, '%Y-%m-%d') as place_id, event_type || (event_id % 2503) as domain, event_type from events),
  seen as (select place_id, 'view' || substr(domain, 6) as domain from b where event_type = 'error'), batch as (select * from b where event_type <> 'error'),
- f as (select * from batch where place_id not in (select place_id from seen) and domain not in (select domain from seen)),
- i as (select *, row_number() over (partition by place_id order by ord) as rn from f),
- d as (select *, row_number() over (partition by domain order by ord) as dn from i where rn = 1)
-select place_id, domain, ord from d where dn = 1""")
+ f as (select *, row_number() over (order by ord) as n from batch where place_id not in (select place_id from seen) and domain not in (select domain from seen)),
+ r as (select cast(0 as bigint) as n, cast([] as varchar[]) as ids, cast([] as varchar[]) as domains, false as taken
+   union all select f.n, case when t then list_append(ids, place_id) else ids end, case when t then list_append(domains, domain) else domains end, t
+   from (select f.*, r.ids, r.domains, not list_contains(r.ids, f.place_id) and not list_contains(r.domains, f.domain) as t
+         from r join f on f.n = r.n + 1) f)
+select f.place_id, f.domain, f.ord from r join f using (n) where r.taken""".replace("with b as", "with recursive b as", 1))
 def unseen_companies(spark, sf):
     """Error events play the companies of earlier runs, all other events the new batch."""
     b = table(spark, sf, "events").select(

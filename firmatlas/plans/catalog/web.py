@@ -23,7 +23,7 @@ _MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 
 
 def _pages(spark, sf):
-    return PG.spread(table(spark, sf, "pages"))
+    return table(spark, sf, "pages")
 
 
 @query("site_profile", f"""
@@ -199,7 +199,7 @@ def name_hints(spark, sf):
 
 
 def _texts(spark, sf):
-    docs = PG.spread(table(spark, sf, "documents")).select(F.col("source").alias("company_id"), F.col("doc_id").alias("page_id"), "text", F.lit("").alias("url"))
+    docs = table(spark, sf, "documents").select(F.col("source").alias("company_id"), F.col("doc_id").alias("page_id"), "text", F.lit("").alias("url"))
     pages = _pages(spark, sf).select(F.lit("pages").alias("company_id"), "page_id", H.visible_text(F.col("html")).alias("text"), "url")
     return docs.unionByName(pages).withColumn("page_ord", F.col("page_id"))
 

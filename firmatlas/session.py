@@ -27,11 +27,13 @@ def build_session(app: str = "firmatlas", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
+    """The shared folder the cluster names. Only a local master may do without: then it is a private folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     current = spark.sparkContext.getCheckpointDir()
+    if named is None and current is None and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if current is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="firmatlas-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()

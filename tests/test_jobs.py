@@ -178,15 +178,54 @@ def test_whole_run(spark, tmp_path):
     assert [r.company_id for r in again.collect()] == ["nord", "sued", "ohne"]
 
 
-def test_page_filter_is_the_same_without_broadcast(spark, monkeypatch):
+def test_only_usable_pages_are_read(spark):
+    from pyspark.sql import functions as F
+
     from firmatlas.plans import enrich as EN
 
     pages, companies, _ = sites.frames(spark)
     some = companies.where("company_id <> 'sued'")
-    want = sorted((r.page_id, r.text) for r in EN.pages_of(pages, some).select("page_id", "text").collect())
-    monkeypatch.setattr(EN, "BROADCAST_IDS", 0)
-    got = sorted((r.page_id, r.text) for r in EN.pages_of(pages, some).select("page_id", "text").collect())
-    assert got == want and len(got) == 3
+    want = sorted(r.page_id for r in EN.pages_of(pages, some).select("page_id").collect())
+    assert len(want) == 3
+    marked = pages.withColumn("status", F.lit(200)).withColumn("content_type", F.lit("text/html; charset=utf-8"))
+    bad = marked.limit(1).withColumn("page_id", F.lit(900)).withColumn("status", F.lit(404))
+    other = marked.limit(1).withColumn("page_id", F.lit(901)).withColumn("content_type", F.lit("application/pdf"))
+    got = sorted(r.page_id for r in EN.pages_of(marked.union(bad).union(other), some).select("page_id").collect())
+    assert got == want
+
+
+def test_unseen_companies_in_order(spark):
+    """A record that is left out marks neither its id nor its domain; missing keys match nothing."""
+    import random
+
+    from firmatlas.operators.resolve import unseen
+
+    rng = random.Random(4)
+    pick = lambda k, n: None if rng.random() < 0.2 else f"{k}{rng.randrange(n)}"
+    batch = [(i, pick("id", 25), pick("d", 20), f"n{i}") for i in range(120)]
+    seen = [(pick("id", 25), pick("d", 20)) for _ in range(5)]
+    ids, domains, want = {a for a, _ in seen} - {None}, {b for _, b in seen} - {None}, []
+    for row in batch:
+        _, i, d, _ = row
+        if (i is None or i not in ids) and (d is None or d not in domains):
+            want.append(row)
+            ids |= {i} - {None}
+            domains |= {d} - {None}
+    frame = spark.createDataFrame(batch, "ord long, place_id string, domain string, name string").repartition(5)
+    old = spark.createDataFrame(seen, "place_id string, domain string")
+    assert sorted(map(tuple, unseen(frame, old).select("ord", "place_id", "domain", "name").collect())) == want
+    assert unseen(frame.limit(0), old).count() == 0
+
+
+def test_a_cell_lists_all_mobiles(spark):
+    from firmatlas.sinks.tables import other_mobiles
+
+    rows = [("a", f"+49160{k:07d}", f"0160 {k:07d}", None, "mobile", (0, 0, 0, k, 0)) for k in range(300)]
+    at = "first_at struct<page_ord:long,page_id:long,part:int,line_no:int,match_no:int>"
+    numbers = spark.createDataFrame(rows, f"company_id string, e164 string, national string, person string, kind string, {at}")
+    mobile = "struct<e164:string,national:string,source_url:string,person:string>"
+    leads = spark.createDataFrame([("a", None, ("+491600000000", "0160 0000000", "u", None), None)], f"company_id string, contact struct<mobile:{mobile}>, best_mobile {mobile}, open_mobile {mobile}")
+    assert other_mobiles(leads, numbers).first()["other_mobiles"] == ", ".join(r[2] for r in rows[1:])
 
 
 def test_employment_evidence_order(spark):
