@@ -11,6 +11,8 @@ from firmatlas.functions import urls
 
 def suppress(rows: DataFrame, objections: DataFrame, phone: str | None = None, email: str | None = None, domain: str | None = None) -> DataFrame:
     """Drop rows whose number, address or domain is on the objection list (kind, key)."""
+    if phone is None and email is None and domain is None:
+        raise ValueError("name at least one column to check against objections")
     out = rows
     for kind, column, norm in (
         ("phone", phone, P.phone_key),

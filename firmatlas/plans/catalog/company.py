@@ -381,7 +381,9 @@ def leads_json_export(spark, sf):
     from firmatlas.sinks.writers import reexport, write_json
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/leads-{uuid.uuid4().hex}"
-    write_json(S.finalize(_lead_rows(spark, sf)).select("company_id", "name", "score", "premium", "in_target_size", "size"), path)
+    rows = S.finalize(_lead_rows(spark, sf)).select("company_id", "name", "score", "premium", "in_target_size", "size")
+    objections = table(spark, sf, "customer").select(F.lit("phone").alias("kind"), F.col("c_phone").alias("key"))
+    write_json(rows.withColumn("phone", F.lit(None).cast("string")), path, objections, phone="phone")
     return reexport(spark, path, _SCHEMA, min_score=40).select("company_id", "name", "score")
 
 

@@ -30,8 +30,9 @@ def resumable_stream(spark, sf):
     )
     stream, out = _feed(spark, sf, rows)
     schema = "place_id string, domain string, ord bigint"
+    none = spark.createDataFrame([], "kind string, key string")
     for _ in range(2):  # the second run finds everything done
-        RN.run_available(stream, RN.batch_writer(f"{out}/rows", schema), f"{out}/checkpoint")
+        RN.run_available(stream, RN.batch_writer(f"{out}/rows", schema, none), f"{out}/checkpoint")
     return RN.read_results(spark, f"{out}/rows", schema).groupBy("place_id").agg(F.count("*").alias("times"))
 
 

@@ -9,15 +9,13 @@ from firmatlas.operators.guard import suppress
 from firmatlas.operators.score import lead_order
 
 
-def write_json(rows: DataFrame, path: str, objections: DataFrame | None = None, mode: str = "append", **keys: str) -> None:
+def write_json(rows: DataFrame, path: str, objections: DataFrame, mode: str = "append", **keys: str) -> None:
     """JSON lines; ``keys`` names the phone, email and domain columns to check against objections."""
-    checked = rows if objections is None else suppress(rows, objections, **keys)
-    checked.write.mode(mode).json(path)
+    suppress(rows, objections, **keys).write.mode(mode).json(path)
 
 
-def write_parquet(rows: DataFrame, path: str, objections: DataFrame | None = None, by: tuple[str, ...] = (), mode: str = "overwrite", **keys: str) -> None:
-    checked = rows if objections is None else suppress(rows, objections, **keys)
-    writer = checked.write.mode(mode)
+def write_parquet(rows: DataFrame, path: str, objections: DataFrame, by: tuple[str, ...] = (), mode: str = "overwrite", **keys: str) -> None:
+    writer = suppress(rows, objections, **keys).write.mode(mode)
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 

@@ -7,41 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
+from firmatlas.operators.guard import suppress
 from firmatlas.operators.resolve import unseen
 
 Process = Callable[[DataFrame], DataFrame]
 
 
 def read_results(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    """All results so far with their batch number; empty before the first batch."""
-    try:
+    """All results so far with their batch number; empty before the first batch. A damaged table is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.read.schema(f"{schema}, batch_id bigint").parquet(out)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, batch_id bigint")
+    return spark.createDataFrame([], f"{schema}, batch_id bigint")
 
 
 def batch_writer(
     out: str,
     schema: str,
+    objections: DataFrame,
     process: Process = lambda df: df,
     id_col: str = "place_id",
     domain: str = "domain",
     export: Callable[[DataFrame], None] | None = None,
     export_every: int = 10,
+    **keys: str,
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: drop what earlier batches have, process the rest, write one folder per batch.
 
     A repeated batch sees only the results of earlier batches and overwrites its own folder, so a crash between
-    writing and committing changes nothing. Every tenth batch hands the whole table to ``export``.
+    writing and committing changes nothing. Every tenth batch hands the whole table to ``export``. Rows on the
+    objection list are not written; ``keys`` names further columns to check, the domain always is.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = read_results(spark, out, schema).where(F.col("batch_id") < batch_id)
         fresh = unseen(batch, before.select(id_col, domain), id_col, domain)
-        process(fresh).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        suppress(process(fresh), objections, **{"domain": domain, **keys}).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
         if export is not None and (batch_id + 1) % export_every == 0:
             export(read_results(spark, out, schema))
 

@@ -3,6 +3,7 @@
 import random
 
 import sites
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,7 +133,8 @@ def test_streaming_run_resumes(spark, tmp_path):
     first = spark.createDataFrame([("a", "a.de", 1), ("b", "b.de", 2), ("a", "a.de", 3)], schema)
     first.coalesce(1).write.parquet(str(src / "one"))
     exports = []
-    writer = RN.batch_writer(f"{out}/rows", schema, export=lambda df: exports.append(df.count()), export_every=2)
+    none = spark.createDataFrame([], "kind string, key string")
+    writer = RN.batch_writer(f"{out}/rows", schema, none, export=lambda df: exports.append(df.count()), export_every=2)
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(src))
     q = RN.run_available(stream, writer, f"{out}/ckpt")
     assert RN.progress_counts(q) == [3] and RN.read_results(spark, f"{out}/rows", schema).count() == 2
@@ -141,6 +143,10 @@ def test_streaming_run_resumes(spark, tmp_path):
     spark.createDataFrame([("c", "c.de", 4), ("x", "a.de", 5), ("b", None, 6)], schema).coalesce(1).write.parquet(str(src / "two"))
     RN.run_available(stream, writer, f"{out}/ckpt")
     assert sorted(r.place_id for r in RN.read_results(spark, f"{out}/rows", schema).collect()) == ["a", "b", "c"]
+    # somebody who objects is not written any more
+    barred = RN.batch_writer(f"{out}/rows", schema, spark.createDataFrame([("domain", "www.d.de")], "kind string, key string"))
+    barred(spark.createDataFrame([("d", "d.de", 7)], schema), 2)
+    assert RN.read_results(spark, f"{out}/rows", schema).where("place_id = 'd'").count() == 0
     # a repeated batch overwrites its own folder
     writer(spark.createDataFrame([("c", "c.de", 4)], schema), 1)
     assert RN.read_results(spark, f"{out}/rows", schema).count() == 3 and exports[0] == 3
@@ -173,7 +179,10 @@ def test_whole_run(spark, tmp_path):
     meta = {r.parameter: r.value for r in TB.run_meta(done.leads, build_spec()).collect()}
     assert (meta["Anzahl Firmen"], meta["mit Handynummer"], meta["Entscheider mit Handy"], meta["Premium-Leads"]) == ("4", "3", "2", "1")
     saved = done.leads.select("company_id", "name", "score", "premium")
-    write_json(saved, str(tmp_path / "leads"))
+    with pytest.raises(ValueError):
+        write_json(saved, str(tmp_path / "leads"), spark.createDataFrame([], "kind string, key string"))
+    objections = spark.createDataFrame([("domain", "weg.example")], "kind string, key string")
+    write_json(saved.withColumn("site", F.lit("https://ok.example")), str(tmp_path / "leads"), objections, domain="site")
     again = reexport(spark, str(tmp_path / "leads"), "company_id string, name string, score int, premium boolean", min_score=5)
     assert [r.company_id for r in again.collect()] == ["nord", "sued", "ohne"]
 
