@@ -12,8 +12,10 @@
 3. Inside a group, signature trees: documents ordered by size are the leaves' entries; each node holds the OR of
    their bitmaps and the range of their sizes. A dual traversal drops pairs of nodes whose largest possible overlap
    is too small for their sizes, skips documents that are connected already, and verifies what remains exactly.
-4. Groups beyond ``BLOCK`` documents are cut into blocks that each also hold a few documents of the whole group;
-   documents that stay outside the group's main component are then compared with every block. Nothing is capped.
+4. Groups beyond ``BLOCK`` documents are cut by size: linked sizes lie in one class or in two neighbouring ones, so
+   each document goes to its own class and the one before. What is still larger is cut into blocks that each also
+   hold a few documents of the whole group; documents that stay outside the group's main component are then compared
+   with every block. Nothing is capped.
 
 Defined results: a shorter text than five words is one shingle; null, empty and blank texts have no shingles, link
 with nothing and are their own component; rows that repeat an id are one node, linked through each of their texts,
@@ -40,6 +42,7 @@ PERCENT = 80
 FREQUENT, SEEN_TOGETHER = 262_144, 3  # shingles that are ordered last; least documents of a slice that hold one
 FLUSH, SHARD = 1_000_000, 600_000  # shingles held by a task before it hands them on; shingles of a shard
 BLOCK, HUBS, PACK = 2000, 64, 1000
+CLASS = 1.26  # ratio of the size classes; linked sizes differ by less
 FEW = 8  # documents of a shingle up to which its pairs are counted
 LEAF, FAN = 16, 4
 
@@ -356,8 +359,28 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": reps, "component": [reps[links.find(i)] for i in range(len(reps))]})
 
 
+def _packed(near: DataFrame, documents: int) -> DataFrame:
+    """rep, component for groups of up to ``BLOCK`` documents, many to a task."""
+    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-documents // PACK))))
+    return near.withColumn("pack", pack).groupBy("pack").applyInPandas(_small_groups, "rep long, component long")
+
+
 def _large_groups(near: DataFrame) -> DataFrame:
-    """rep, component for groups of more than ``BLOCK`` documents."""
+    """rep, component for groups of more than ``BLOCK`` documents: by size classes first."""
+    rank = F.floor(F.log("n_shingles") / F.log(F.lit(CLASS)))
+    ranked = near.drop("size").withColumn("rank", F.explode(F.array(rank, rank - 1))).withColumn("cluster", F.xxhash64("cluster", "rank"))
+    sizes = write_stage(ranked.groupBy("cluster").agg(F.count("*").alias("size")), "ngram-classes")
+    told = sizes.agg(F.sum("size"), F.max("size")).first()
+    sized = ranked.join(sizes, "cluster")
+    found = _packed(sized.where(F.col("size") <= BLOCK), told[0])
+    if told[1] > BLOCK:
+        found = found.union(_block_groups(write_stage(sized.where(F.col("size") > BLOCK), "ngram-large")))
+    found = write_stage(found, "ngram-classed")
+    return clusters(found.select(F.col("rep").alias("record"), F.col("component").alias("token"))).select(F.col("record").alias("rep"), F.col("cluster").alias("component"))
+
+
+def _block_groups(near: DataFrame) -> DataFrame:
+    """rep, component for groups of more than ``BLOCK`` documents of like size."""
     n_blocks = F.ceil(F.col("size") / BLOCK)
     hub = F.pmod(F.xxhash64(F.lit("hub"), "rep"), F.col("size")) < HUBS
     near = near.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks))
@@ -407,16 +430,15 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     unsure = sums.where("shared < least").select("u", "v").join(hot.withColumnRenamed("w", "u"), "u", "left_semi").join(hot.withColumnRenamed("w", "v"), "v", "left_semi").select("u", "v")
     edges = write_stage(enough.union(unsure).union(starred.select("u", "v").distinct()), "ngram-edges")
 
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     groups = write_stage(_roots(edges), "ngram-groups")
     sized = groups.join(groups.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumnRenamed("record", "h1")
     near = read.join(classes.join(sized, "h1"), F.col("doc_id") == F.col("rep"))
-    near = near.select("rep", "cluster", "size", "text")
+    near = near.select("rep", "cluster", "size", "n_shingles", "text")
     sizes = sized.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     if sizes[1] > BLOCK:  # these texts are needed more than once
         near = write_stage(near, "ngram-near")
-    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-sizes[0] // PACK))))
-    small = near.where(F.col("size") <= BLOCK).withColumn("pack", pack).groupBy("pack").applyInPandas(_small_groups, "rep long, component long")
+    small = _packed(near.where(F.col("size") <= BLOCK), sizes[0])
     found = small.union(_large_groups(near.where(F.col("size") > BLOCK))) if sizes[1] > BLOCK else small
     found = write_stage(found, "ngram-components")
     # an id with several texts ties their components together
