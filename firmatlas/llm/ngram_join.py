@@ -41,7 +41,7 @@ from firmatlas.session import write_stage
 PERCENT = 80
 FREQUENT, SEEN_TOGETHER = 262_144, 3  # shingles that are ordered last; least documents of a slice that hold one
 FLUSH, SHARD = 1_000_000, 600_000  # shingles held by a task before it hands them on; shingles of a shard
-BLOCK, HUBS, PACK = 2000, 64, 1000
+BLOCK, HUBS, PACK = 6000, 64, 1000
 CLASS = 1.26  # ratio of the size classes; linked sizes differ by less
 FEW = 8  # documents of a shingle up to which its pairs are counted
 LEAF, FAN = 16, 4
@@ -83,7 +83,7 @@ class Links:
 class Node:
     """A part of the documents ordered by size: OR of their bitmaps, range of sizes, most codes that share a bit."""
 
-    __slots__ = ("bits", "children", "entries", "large", "small", "spare")
+    __slots__ = ("bits", "children", "entries", "large", "rows", "sizes", "small", "spare", "spares")
 
     def __init__(self, entries: list[int], children: list[Node], bits: np.ndarray, small: int, large: int, spare: int) -> None:
         self.entries, self.children = entries, children
@@ -97,16 +97,17 @@ class SignatureTree:
         self.sets = sets
         level = []
         order = sorted(picked, key=lambda i: (len(sets[i]), i))
-        self.bits: dict[int, np.ndarray] = {}
-        self.spare: dict[int, int] = {}
-        for i in order:
-            row = np.zeros(width, dtype=bool)
-            row[(sets[i] & np.uint64(width - 1)).astype(np.int64)] = True
-            self.spare[i] = len(sets[i]) - int(row.sum())
-            self.bits[i] = np.packbits(row).view(np.uint64)
         for start in range(0, len(order), LEAF):
             part = order[start : start + LEAF]
-            level.append(Node(part, [], np.bitwise_or.reduce([self.bits[i] for i in part]), len(sets[part[0]]), len(sets[part[-1]]), max(self.spare[i] for i in part)))
+            marked = np.zeros((len(part), width), dtype=bool)
+            for row, i in zip(marked, part, strict=True):
+                row[(sets[i] & np.uint64(width - 1)).astype(np.int64)] = True
+            sizes = np.array([len(sets[i]) for i in part])
+            spares = sizes - marked.sum(axis=1)
+            rows = np.packbits(marked, axis=1).view(np.uint64)
+            leaf = Node(part, [], np.bitwise_or.reduce(rows), int(sizes[0]), int(sizes[-1]), int(spares.max()))
+            leaf.rows, leaf.sizes, leaf.spares = rows, sizes, spares
+            level.append(leaf)
         while len(level) > 1:
             level = [
                 Node([i for n in part for i in n.entries], part, np.bitwise_or.reduce([n.bits for n in part]), part[0].small, part[-1].large, max(n.spare for n in part))
@@ -139,15 +140,21 @@ def traverse(left: SignatureTree, right: SignatureTree, links: Links) -> None:
             else:
                 todo += [(a, y) for y in b.children]
             continue
-        for k, i in enumerate(a.entries):
-            x, size = sets[i], len(sets[i])
-            for j in a.entries[k + 1 :] if a is b else b.entries:
-                y = sets[j]
-                if find(i) == find(j) or not may_link(size, size, len(y), len(y), overlap_bound(left.bits[i], left.spare[i], right.bits[j], right.spare[j])):
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= PERCENT * (size + len(y) - shared):
-                    links.join(i, j)
+        for k, m in np.argwhere(possible(a, b)).tolist():
+            i, j = a.entries[k], b.entries[m]
+            if (a is b and k >= m) or find(i) == find(j):
+                continue
+            x, y = sets[i], sets[j]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
+                links.join(i, j)
+
+
+def possible(a: Node, b: Node) -> np.ndarray:
+    """Which entries of two leaves may be linked, by sizes and bitmaps."""
+    x, y = a.sizes[:, None], b.sizes[None, :]
+    overlap = np.bitwise_count(a.rows[:, None] & b.rows[None, :]).sum(axis=2, dtype=np.int64) + np.minimum(a.spares[:, None], b.spares[None, :])
+    return (100 * x >= PERCENT * y) & (100 * y >= PERCENT * x) & (overlap >= -(-PERCENT * (x + y) // (100 + PERCENT)))
 
 
 def width_for(sets: list[np.ndarray]) -> int:

@@ -66,7 +66,7 @@ def copies(spark):
     return rows, spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, component_id int")
 
 
-@pytest.mark.parametrize("block, few, frequent", [(2000, 8, 1000), (3, 8, 1000), (2000, 1, 4)])
+@pytest.mark.parametrize("block, few, frequent", [(6000, 8, 1000), (3, 8, 1000), (6000, 1, 4)])
 def test_ngram_join_equals_all_pairs(monkeypatch, copies, block, few, frequent):
     rows, docs = copies
     for name, value in (("BLOCK", block), ("FEW", few), ("FREQUENT", frequent), ("HUBS", 1)):
