@@ -135,7 +135,7 @@ def traverse(left: SignatureTree, right: SignatureTree, links: Links) -> None:
         if a.children or b.children:
             if a is b:
                 todo += [(x, y) for k, x in enumerate(a.children) for y in a.children[k:]]
-            elif len(a.entries) >= len(b.entries) and a.children:
+            elif a.children and (not b.children or len(a.entries) >= len(b.entries)):
                 todo += [(x, b) for x in a.children]
             else:
                 todo += [(a, y) for y in b.children]

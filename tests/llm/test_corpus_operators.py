@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,20 @@ def test_first_codes_of_linked_sets_meet():
             assert len(np.intersect1d(ngram_join.first_codes(x, common, ranks), ngram_join.first_codes(y, common, ranks)))
 
 
+@pytest.mark.parametrize("block, outside", [(65, 16), (67, 16), (79, 40), (16, 67), (65, 300)])
+def test_ngram_join_of_a_block_and_stragglers_compares_all(block, outside):
+    # the largest sets of the block stand in its last leaf; each has its near copies on the other side, and no others
+    rows = []
+    for k in range(block):
+        rows.append((k, 0, " ".join(f"a{k}x{i}" for i in range(40 + k // 8)), k))
+    for k in range(outside):
+        of = block - 1 - k % block
+        rows.append((1000 + k, 1, rows[of][2] + f" more{k}", 1000 + k))
+    got = ngram_join._across(pd.DataFrame(rows, columns=["rep", "side", "text", "label"]))
+    want = {k: k for k in range(block)} | {1000 + k: block - 1 - k % block for k in range(outside)}
+    assert dict(zip(got["rep"], got["component"], strict=True)) == want
+
+
 def test_shingles_tell_orders_apart_and_blocks_unpack():
     assert len(shingle_set(b"a b b a x")) == 1 and shingle_set(b"a b b a x") != shingle_set(b"b a a b x")
     codes = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
