@@ -2,7 +2,8 @@
 
 Two gated recurrent layers read a text's bytes forwards and backwards; together they label every byte position
 with a language, and the mean over the positions gives the document's probabilities. The network is trained in
-numpy by backpropagation through time, on windows of a bounded sample of labelled rows (``SAMPLE_ROWS``); the
+numpy by backpropagation through time, on windows of a bounded sample of labelled texts (per language the
+``ROWS_PER_LANGUAGE`` different texts with the smallest hashes, so that no language is left out); the
 prediction covers every byte of every text, in lanes of ``LANE`` bytes that are computed side by side.
 
 Defined results: a null text and one without any letter get ``und`` and score 0, as does everything when no row
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from firmatlas.llm.common import rows_in_slices, shipped, with_column
 
-SAMPLE_ROWS, WINDOW, WINDOWS_PER_ROW = 3000, 96, 3
+ROWS_PER_LANGUAGE, SALTS, WINDOW, WINDOWS_PER_ROW = 1000, 64, 96, 3
 HIDDEN, EPOCHS, BATCH, RATE, LANE, LANES = 8, 6, 128, 0.02, 128, 4096
 UNKNOWN = "und"
 _LATIN = re.compile("[A-Za-z]")
@@ -165,20 +167,24 @@ class Network:
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network:
-    """A network trained on a sample of the labelled rows: those whose text hash is smallest."""
-    rows = (
-        docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-        .select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text, lang).alias("h"))
-        .orderBy("h")
-        .limit(sample_rows)
-    )
+def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """lang, windows: per language the different labelled texts whose hash is smallest."""
     # windows leave the executors, whole texts don't
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(WINDOWS_PER_ROW - 1)),
-        lambda k: F.substring("text", (F.length("text") * k / F.lit(WINDOWS_PER_ROW)).cast("int") + 1, F.lit(WINDOW)),
+        lambda k: F.substring(text, (F.length(text) * k / F.lit(WINDOWS_PER_ROW)).cast("int") + 1, F.lit(WINDOW)),
     )
-    found = rows.select("lang", F.explode(spread).alias("window")).collect()
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text, lang).alias("h"), spread.alias("windows")).distinct()
+    # first within parts of a language, so that no task reads all of its texts
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h", "windows")
+        rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language).drop("rank")
+    return rows.select("lang", "windows")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Network:
+    """A network trained on a sample of the labelled texts of every language."""
+    found = sampled(docs, text, lang, rows_per_language).select("lang", F.explode("windows").alias("window")).collect()
     labels = sorted({r["lang"] for r in found})
     pairs = [(r["window"].encode()[:WINDOW].ljust(WINDOW), labels.index(r["lang"])) for r in found if has_letter(r["window"])]
     pairs.sort(key=lambda p: (zlib.crc32(p[0]), p))

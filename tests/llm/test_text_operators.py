@@ -141,6 +141,14 @@ def test_language_on_held_out_rows(spark, odd, none):
     assert {r["lang_pred"] for r in language.predict(odd, language.fit(none)).collect()} == {"und"}
 
 
+def test_language_sample_has_every_language_and_no_copies(spark):
+    copies = [("the same english text", "en"), ("derselbe deutsche Text", "de")] * 3_100
+    rows = spark.createDataFrame([*copies, ("le seul texte", "fr"), *((f"an english text {k}", "en") for k in range(30))], "text string, lang string")
+    assert language.fit(rows).labels == ["de", "en", "fr"]
+    assert Counter(r["lang"] for r in language.sampled(rows).collect()) == {"en": 31, "de": 1, "fr": 1}
+    assert Counter(r["lang"] for r in language.sampled(rows, rows_per_language=5).collect()) == {"en": 5, "de": 1, "fr": 1}
+
+
 def test_gradients_agree_with_differences():
     import numpy as np
 
