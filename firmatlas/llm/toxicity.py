@@ -48,7 +48,8 @@ KINDS = {"insult": 0.75, "insult_target": 0.9, "insult_negated": 0.3, "insult_re
 PULL = 10  # labelled rows that the grammar's own weight counts as
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
-_BORDER = re.compile(r"[.!?;\n]")
+BORDERS = ".!?;\n"
+_BORDER = re.compile(f"[{BORDERS}]")
 
 
 @dataclass(frozen=True)
@@ -143,18 +144,16 @@ class Reader:
         for at in sorted(spots):
             if at < until:
                 continue
-            before = 0
-            for m in _BORDER.finditer(low, max(0, at - 400), at):
-                before = m.end()
-            start = before or max(0, at - 400)
-            stop = _BORDER.search(low, at, at + 400)
-            until = stop.start() if stop else min(len(low), at + 400)
+            # the whole clause; what lies before the end of the last one is not looked at again
+            start = max(low.rfind(border, max(until, 0), at) for border in BORDERS) + 1
+            stop = _BORDER.search(low, at)
+            until = stop.start() if stop else len(low)
             words = [(m.start(), m[0]) for m in _TOKEN.finditer(low, start, until)]
             symbols = [self.symbol(word, insults, i) for i, word in words]
             for machine in GRAMMAR:
                 symbols = machine.run(symbols)
             for (i, word), symbol in zip(words, symbols, strict=True):
-                if symbol in self.grammar.kinds and i >= start:
+                if symbol in self.grammar.kinds:
                     weight = self.grammar.kinds[symbol] * (self.grammar.stems[insults[i]] if i in insults else 1)
                     found.append((i, i + len(word), symbol, weight))
         return found

@@ -190,6 +190,15 @@ def test_grammar_scores_clauses_not_words():
     assert score("You idiot, you scum.") > score("Such scum.") > score("It was not stupid.") > score("")
 
 
+def test_long_clauses_are_read_whole_and_once():
+    reader = toxicity.Grammar().reader()
+    hits = lambda text: [(a, k) for a, _, k, _ in reader.clauses(text)]
+    filler = "word " * 200
+    assert hits(f"Fine. They said {filler}scum. Then scum") == [(1016, "insult_reported"), (1027, "insult")]
+    text = "scum " + "word " * 60 + "scum " + "word " * 70 + "scum " + filler + "scum"
+    assert hits(text) == [(at, "insult") for at in (0, 305, 660, 1665)]
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
