@@ -286,6 +286,16 @@ def test_quality_rules(spark, odd, none):
     assert quality.judge(none).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_quality_of_a_small_language(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT", sent, raising=False)
+    rng = random.Random(9)
+    made = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60))
+    rows = [(i, made("abcdefgh"), "en") for i in range(2_100)] + [(5_000, made("αβγδεζηθ"), "el"), (5_001, made("αβγδεζηθ"), "el"), (5_002, made("αβγδεζηθ"), None)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and got[5_000] and got[5_001] and not got[5_002] and got[0]
+
+
 # --- secrets
 
 
