@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmatlas.llm import bpe, decontaminate, html_content, language, language_model, ngram_join, privacy, quality, secret_scan, toxicity
+from firmatlas.llm import bpe, decontaminate, fill_middle, hard_negatives, html_content, language, language_model, ngram_join, privacy, quality, secret_scan, toxicity, url_rules
 from firmatlas.llm.common import held_out, table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def twin(name: str, sql: str) -> None:
+    """The SQL that states the result of a query."""
+    ORACLES[name] = sql
+
+
 @query
 def op1_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_content.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -90,3 +95,64 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    told = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", told), F.col("vec_id") % 100 == 0)
+
+
+twin("op11_hard_negatives", """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * cast(x as double)) for x in embedding] as v
+    from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+  pairs as (select a.vec_id as anchor_id, a.label as own, r.vec_id, r.label, cast(list_inner_product(a.v, r.v) as bigint) as score from r a join r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+  p as (select anchor_id, vec_id as positive_id, score as positive_score from pairs where label = own
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join pairs using (anchor_id) where label <> own and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5""")
+
+SITES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+# words of spam hosts, and paths that hold no article
+GLOBS = ("*casino*/**", "*cheap-pills*/**", "*ads-track*/**", "*.*/**/login**", "*.*/**/cart/**")
+
+
+@query
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_rules.site_rule(*s) for s in SITES] + [url_rules.Rule(g, "block") for g in GLOBS]
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_FITS = [f"when ends_with('.' || host, '.{h}') and starts_with(path, '{p}') then" for h, p, _ in sorted(SITES, key=lambda s: -len(s[0] + s[1]))]
+_BY_LENGTH = sorted(SITES, key=lambda s: -len(s[0] + s[1]))
+_GLOBBED = " or ".join("regexp_full_match('.' || host || path || query, '(?s)" + g.replace(".", r"\.").replace("**", "\0").replace("*", "[^/?]*").replace("\0", ".*") + "')" for g in GLOBS)
+twin("op12_url_rules", rf"""
+with s as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+  p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+    regexp_extract(rest, '^[^?#]*([^#]*)', 1) as query from s)
+select page_id, host, path, case {' '.join(f"{w} '{h}{p}'" for w, (h, p, _) in zip(_FITS, _BY_LENGTH, strict=True))} end as rule,
+  case {' '.join(f"{w} '{v}'" for w, (_, _, v) in zip(_FITS, _BY_LENGTH, strict=True))} when {_GLOBBED} then 'block' else 'allow' end as verdict
+from (select page_id, coalesce(host, '') as host, coalesce(path, '') as path, coalesce(query, '') as query from p)""")
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(again).alias("restored_sha256"))
+
+
+twin("op13_fill_middle", """
+with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units from documents),
+  n as (select *, cast(len(units) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+    cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from t),
+  c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from n),
+  d as (select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from d""")
