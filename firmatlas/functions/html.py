@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.entities import html5
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from firmatlas.functions import urls
-from firmatlas.functions.text import CLOSE, OPEN, let, lookup, strip
+from firmatlas.functions.text import CLOSE, OPEN, let, strip, text_map
 from firmatlas.rules import vocab
 
 _NUMBER_LINK = r"(?i)<a\b[^>]*href\s*=\s*[\"']?\s*(?:tel:|callto:|whatsapp:|https?://[^\"'>]*(?:wa\.me/|phone=))"
 
 
-# named character references, from the standard table
-NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+# named character references, from the standard table; those of the first HTML versions come first, as a lookup reads in order
+NAMED = {name: html5[f"{name};"] for name in ("amp", "nbsp", "quot", *name2codepoint)} | {
+    name[:-1]: value for name, value in html5.items() if name.endswith(";")
+}
 
 
 def drop_opaque(html: Column) -> Column:
@@ -56,7 +58,7 @@ def show_link_numbers(html: Column) -> Column:
 
 
 def _unescape_once(text: Column) -> Column:
-    named = lookup(NAMED)
+    named = text_map(NAMED)
 
     def piece(p: Column) -> Column:
         ref = F.regexp_extract(p, r"^(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)", 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\u0001", "\u0002"
@@ -26,6 +26,20 @@ def lookup(table: Mapping[str, object]) -> Column:
     return F.expr("map(" + ", ".join(quote(x) for pair in table.items() for x in pair) + ")")
 
 
+def text_map(table: Mapping[str, str]) -> Column:
+    """A large constant map of texts. It is one string in the plan, which the optimizer folds into a map literal."""
+    pair, entry = "\u0003", "\u0004"
+    return F.str_to_map(F.lit(entry.join(f"{k}{pair}{v}" for k, v in table.items())), F.lit(entry), F.lit(pair))
+
+
+def each(rows: DataFrame, keep: Sequence[str], values: Column, number: str, value: str) -> DataFrame:
+    """One row per array element with its place from 0.
+
+    As an inner explode the optimizer would first filter by the size of the array, and so compute the array twice.
+    """
+    return rows.select(*keep, F.posexplode_outer(values).alias(number, value)).where(F.col(number).isNotNull())
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 

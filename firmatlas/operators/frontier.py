@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from firmatlas.functions import names as N
 from firmatlas.functions import urls
 from firmatlas.operators.skew import top_rows
 from firmatlas.rules import vocab
+from firmatlas.session import write_stage
 
 
 def candidates(
@@ -76,6 +78,81 @@ def plan_more(rows: DataFrame, extra: int = 4, site: str = "company_id") -> Data
     return top_rows(wanted, [site], [F.col("priority"), F.col("seen_at"), F.col("page_key")], extra)
 
 
+CANDIDATE = "href string, text string, priority int, round_no int, seen_at struct<page_ord:bigint,page_id:bigint,link_no:int>"
+
+
+@dataclass(frozen=True)
+class Crawl:
+    """What a crawl knows between rounds, one row per site and page key: asked pages, open candidates, and name hints."""
+
+    asked: DataFrame  # site, page_key, round_no
+    open: DataFrame  # site, page_key, href, text, priority, round_no, seen_at
+    hints: DataFrame  # site, hint
+
+
+def start_crawl(starts: DataFrame, site: str = "company_id") -> Crawl:
+    """``starts``: site and url of the first page of each site, which counts as asked in round 0."""
+    spark, kind = starts.sparkSession, starts.schema[site].dataType.simpleString()
+    asked = starts.select(site, urls.page_key(F.col("url")).alias("page_key"), F.lit(0).alias("round_no")).distinct()
+    return Crawl(
+        asked,
+        spark.createDataFrame([], f"{site} {kind}, page_key string, {CANDIDATE}"),
+        spark.createDataFrame([], f"{site} {kind}, hint string"),
+    )
+
+
+def within_budget(rows: DataFrame, asked: DataFrame, budget: int, site: str) -> DataFrame:
+    """The next pages of each site that its budget still has room for, under the rules of ``plan``."""
+    used = asked.groupBy(site).agg(F.count("*").alias("_used"))
+    top = top_rows(rows, [site], [F.col("priority"), F.col("round_no"), F.col("seen_at"), F.col("page_key")], budget)
+    room = top.join(used, site, "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
+    fits = F.col("rank") <= F.lit(budget) - F.col("_used")
+    known = (F.col("priority") < 9) | (F.col("rank") <= F.lit(max(3, budget - 2)) - F.col("_used"))
+    return room.where(fits & known).drop("_used")
+
+
+def next_round(
+    state: Crawl,
+    links: DataFrame,
+    round_no: int,
+    budget: int = 8,
+    extra: int | None = None,
+    legal_people: DataFrame | None = None,
+    site: str = "company_id",
+    suffixes: Sequence[str] = vocab.TWO_LEVEL_SUFFIXES,
+    allow: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> tuple[Crawl, DataFrame]:
+    """The state after one more round and the pages to load in it: site, page_key, href, priority, hinted, rank.
+
+    ``links`` are the links of the pages that the round before loaded; only they are read. Targets that were asked for
+    leave by an anti-join, the others join the open candidates, each under the link that named it first. ``legal_people``
+    are people found on those pages; their surnames promote links, from this round on. With ``extra`` the round is a
+    second pass: up to that many legal, contact, team or hinted pages besides the budget. ``allow`` may drop targets.
+    """
+    found = candidates(links, site=site, suffixes=suffixes).withColumn("round_no", F.lit(round_no))
+    columns = [site, "page_key", "href", "text", "priority", "round_no", "seen_at"]
+    at = F.struct("round_no", "seen_at")
+    first = [F.min_by(c, at).alias(c) for c in columns[2:]]
+    every = state.open.unionByName(allow(found).select(columns)).groupBy(site, "page_key").agg(*first)
+    every = every.join(state.asked, [site, "page_key"], "left_anti")
+    hints = state.hints
+    if legal_people is not None:
+        named = legal_people.select(site, F.lower(N.surname(F.col("name"))).alias("hint")).where(F.length("hint") >= 3)
+        hints = write_stage(hints.unionByName(named).distinct(), "crawl-hints")
+    # one short list per site: the surnames of its legal notices
+    listed = hints.groupBy(site).agg(F.array_sort(F.collect_list("hint")).alias("names"))
+    rows = write_stage(promote_hints(every, listed, site), "crawl-open")
+    if extra is None:
+        chosen = within_budget(rows, state.asked, budget, site)
+    else:
+        chosen = plan_more(rows.withColumn("seen_at", at), extra, site)
+    chosen = write_stage(chosen.select(site, "page_key", "href", "priority", "hinted", "rank"), "crawl-chosen")
+    # promoted priorities are not stored: a later round promotes again with the hints of that time
+    rest = every.join(chosen, [site, "page_key"], "left_anti").select(columns)
+    now = state.asked.unionByName(chosen.select(site, "page_key", F.lit(round_no).alias("round_no")))
+    return Crawl(write_stage(now, "crawl-asked"), write_stage(rest, "crawl-rest"), hints), chosen
+
+
 def robots_by_host(rules: DataFrame, agent: str) -> DataFrame:
     """host -> rules of our agent and of everyone. One robots file is one small list."""
     named = F.contains(F.lit(agent.lower()), F.lower(F.col("agent")))

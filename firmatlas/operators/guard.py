@@ -9,20 +9,27 @@ from firmatlas.functions import phone as P
 from firmatlas.functions import urls
 
 
+NORMAL = {"phone": P.phone_key, "email": lambda c: F.lower(F.trim(c)), "domain": urls.registrable_domain}
+
+
+def normalised(kind: str, value: Column) -> Column:
+    """The form in which a number, address or domain is compared."""
+    return NORMAL[kind](value)
+
+
+def listed_keys(objections: DataFrame, kind: str) -> DataFrame:
+    """_k: distinct objected values of one kind."""
+    return objections.where(F.col("kind") == kind).select(normalised(kind, F.col("key")).alias("_k")).where("_k is not null").distinct()
+
+
 def suppress(rows: DataFrame, objections: DataFrame, phone: str | None = None, email: str | None = None, domain: str | None = None) -> DataFrame:
     """Drop rows whose number, address or domain is on the objection list (kind, key)."""
     if phone is None and email is None and domain is None:
         raise ValueError("name at least one column to check against objections")
     out = rows
-    for kind, column, norm in (
-        ("phone", phone, P.phone_key),
-        ("email", email, lambda c: F.lower(F.trim(c))),
-        ("domain", domain, urls.registrable_domain),
-    ):
-        if column is None:
-            continue
-        listed = objections.where(F.col("kind") == kind).select(norm(F.col("key")).alias("_k")).where("_k is not null").distinct()
-        out = out.withColumn("_k", norm(F.col(column))).join(listed, "_k", "left_anti").drop("_k")
+    for kind, column in (("phone", phone), ("email", email), ("domain", domain)):
+        if column is not None:
+            out = out.withColumn("_k", normalised(kind, F.col(column))).join(listed_keys(objections, kind), "_k", "left_anti").drop("_k")
     return out
 
 

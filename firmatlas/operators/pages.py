@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firmatlas.functions import html as H
 from firmatlas.functions import urls
+from firmatlas.functions.text import each
 from firmatlas.rules import vocab
 
 
@@ -22,7 +23,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     keep = [c for c in pages.columns if c not in ("html", "text")]
     text = F.col("text") if "text" in pages.columns else H.visible_text(F.col("html"))
     split = pages.select(*keep, H.lines_of(text).alias("_lines"))
-    return split.select(*keep, F.posexplode("_lines").alias("line_no", "line"))
+    return each(split, keep, F.col("_lines"), "line_no", "line")
 
 
 def page_links(
@@ -31,7 +32,7 @@ def page_links(
     """One row per link: key columns, link_no from 0, href, text, kind, attrs."""
     keep = [c for c in pages.columns if c not in ("html", "text")]
     found = pages.select(*keep, H.links_of(F.col("html"), F.col(url), suffixes).alias("_links"))
-    return found.select(*keep, F.posexplode("_links").alias("link_no", "_l")).select(
+    return each(found, keep, F.col("_links"), "link_no", "_l").select(
         *keep, "link_no", "_l.href", "_l.text", "_l.kind", "_l.attrs"
     )
 
@@ -70,7 +71,7 @@ def sum_sites(per_page: DataFrame) -> DataFrame:
     """Two levels of aggregation: (domain, target) keeps distinct counting spread over tasks."""
     rows = per_page.select(
         "domain",
-        F.explode(
+        F.explode_outer(  # never empty; an inner explode would compute the targets twice
             F.concat(
                 F.array(
                     F.struct(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmatlas.functions import phone as P
 from firmatlas.functions import urls
 from firmatlas.functions.text import blank_to_null
-from firmatlas.operators.skew import first_by
+from firmatlas.operators.skew import first_by, top_rows
 from firmatlas.session import cut_lineage
 
 
@@ -101,32 +101,82 @@ def dedupe_companies(companies: DataFrame) -> DataFrame:
     return merge_records(staged.join(linked, "ord")).drop("cluster")
 
 
-def unseen(batch: DataFrame, seen: DataFrame, id_col: str = "place_id", domain: str = "domain", order: str = "ord") -> DataFrame:
+def _settled(records: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:
+    """Orders of the records that are taken when each group is read from its first record to its last."""
+    kind = {c: records.schema[c].dataType.simpleString() for c in (order, *keys)}
+    read = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])))
+    start = F.struct(
+        F.expr(f"cast(array() as array<{kind[order]}>)").alias("taken"),
+        *[F.expr(f"cast(array() as array<{kind[k]}>)").alias(f"k{i}") for i, k in enumerate(keys)],
+    )
+
+    def step(done: Column, r: Column) -> Column:
+        free = F.lit(True)
+        for i in range(len(keys)):
+            free = free & ~F.coalesce(F.array_contains(done[f"k{i}"], r[f"k{i}"]), F.lit(False))
+        marked = [F.when(r[f"k{i}"].isNull(), done[f"k{i}"]).otherwise(F.array_append(done[f"k{i}"], r[f"k{i}"])).alias(f"k{i}") for i in range(len(keys))]
+        return F.when(free, F.struct(F.array_append(done["taken"], r["at"]).alias("taken"), *marked)).otherwise(done)
+
+    folded = records.groupBy(group).agg(F.aggregate(read, start, step, lambda done: done["taken"]).alias("taken"))
+    return folded.select(F.explode("taken").alias(order))
+
+
+def unseen(
+    batch: DataFrame, seen: DataFrame, id_col: str = "place_id", domain: str = "domain", order: str = "ord", fold: int = 16_384
+) -> DataFrame:
     """Records whose id and domain were not processed before, read in the order of ``order`` (unique per record).
 
     A record is taken if no seen record and no earlier taken one has its id or its domain; a record that is left out
-    marks neither. A missing id or domain matches nothing. Each round takes the records that come first among all
-    that are left with their id and with their domain, and drops what they exclude, until none is left; a round
-    costs two partial aggregates, whatever share of the records one key holds.
+    marks neither. A missing id or domain matches nothing.
+
+    What a record is up to depends only on the records that share keys with it, directly or through others. So each
+    round first takes all records that come first with both keys and drops what they exclude: two partial aggregates,
+    whatever share of the records one key holds. Of the rest, components of up to ``fold`` records are read each in one
+    sorted pass; of a larger one its first ``fold`` records, and then the next round goes on behind them. The number of
+    rounds so grows with the size of the largest component divided by ``fold``, not with the length of its chains.
     """
     keys = [id_col, domain]
     left = batch
     for k in keys:
         left = left.join(seen.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-    left, taken = cut_lineage(left.select(batch.columns)), None
-    while not left.isEmpty():
+    left, taken = cut_lineage(left.select(batch.columns)), []
+
+    def excluded(rows: DataFrame, now: DataFrame) -> DataFrame:
+        rest = rows.join(now.select(order), order, "left_anti")
+        for k in keys:
+            rest = rest.join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+        return cut_lineage(rest.select(batch.columns))
+
+    while True:
         told = left
         for k in keys:
             first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_{k}"))
             told = told.join(first, k, "left")
         ahead = [F.coalesce(F.col(order) == F.col(f"_{k}"), F.lit(True)) for k in keys]
         now = cut_lineage(told.where(ahead[0] & ahead[1]).select(batch.columns))
-        taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select(order), order, "left_anti")
-        for k in keys:
-            left = left.join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-        left = cut_lineage(left.select(batch.columns))
-    return left if taken is None else taken
+        taken.append(now)
+        left = excluded(left, now)
+        n = left.count()
+        if n <= fold:  # one pass settles all, whatever hangs together
+            if n:
+                settled = _settled(left.withColumn("_group", F.lit(0)), "_group", order, keys)
+                taken.append(cut_lineage(left.join(settled, order, "left_semi").select(batch.columns)))
+            break
+        tokens = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k).cast("string")) for i, k in enumerate(keys)]), lambda t: t.isNotNull())
+        linked = clusters(left.select(F.col(order).alias("record"), F.explode(tokens).alias("token")))
+        grouped = cut_lineage(left.select(order, *keys).join(linked.withColumnRenamed("record", order), order))
+        early = top_rows(grouped, ["cluster"], [F.col(order)], fold, "_place").drop("_place")
+        now = cut_lineage(left.join(_settled(early, "cluster", order, keys), order, "left_semi").select(batch.columns))
+        taken.append(now)
+        # of a settled component nothing is left; of a larger one what lies behind its first records
+        read = excluded(left.join(early.select(order), order, "left_anti"), now)
+        if read.isEmpty():
+            break
+        left = read
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -277,7 +277,7 @@ with p as (select c_custkey, lpad(cast(c_custkey * 37 % 100000 as varchar), 5, '
  z as (select *, cast(substr(plz, 1, 2) as integer) as z from p)
 select 'g' || c_custkey as place_id, c_name as name, case when c_custkey % 4 = 0 then 'Weg' else 'Weg ' || c_custkey end as street, plz,
   case when c_custkey % 2 = 0 then 'Ort A' else 'Ort B' end as city, case when c_custkey % 3 = 0 then 'Bayern' else case {_ZONES} end end as state,
-  'DE' as country from z join customer using (c_custkey)""")
+  'DE' as country, c_custkey as ord from z join customer using (c_custkey)""")
 def places_json(spark, sf):
     k = F.col("c_custkey")
     part = "struct<longText:string,shortText:string,types:array<string>,languageCode:string>"
@@ -300,10 +300,10 @@ def places_json(spark, sf):
         F.lit("").alias("internationalPhoneNumber"), F.lit("https://x.de").alias("websiteUri"), F.lit("t").alias("primaryType"),
         F.array(F.lit("t")).alias("types"), F.lit(4.5).alias("rating"), k.cast("int").alias("userRatingCount"), F.lit("OPERATIONAL").alias("businessStatus"), F.lit("").alias("googleMapsUri"),
     )
-    answers = _customers(spark, sf).select(F.to_json(F.struct(F.array(place).alias("places"))).alias("j"))
-    parsed = answers.select(F.explode(F.from_json("j", R.PLACES_SCHEMA)["places"]).alias("place"))
-    out = R.companies_from_places(parsed, F.lit("q"), F.col("place.id"))
-    return out.select("place_id", "name", "street", "plz", "city", "state", "country")
+    answers = _customers(spark, sf).select(k.alias("no"), F.to_json(F.struct(F.array(place).alias("places"))).alias("j"))
+    parsed = answers.select("no", F.explode(F.from_json("j", R.PLACES_SCHEMA)["places"]).alias("place"))
+    out = R.companies_from_places(parsed, F.lit("q"), F.col("no"))
+    return out.select("place_id", "name", "street", "plz", "city", "state", "country", "ord")
 
 
 @query("masked_contacts", """
@@ -370,21 +370,23 @@ def lead_filters(spark, sf):
     return S.finalize(_lead_rows(spark, sf)).where(S.passes(need_mobile=True)).select("company_id")
 
 
-_SCHEMA = "company_id bigint, name string, score int, premium boolean, in_target_size boolean, size struct<lo:int,hi:int,point:int,confidence:string>"
+_SCHEMA = "company_id bigint, name string, phone string, score int, premium boolean, in_target_size boolean, size struct<lo:int,hi:int,point:int,confidence:string>"
 
 
 @query("leads_json_export", f"""with {_LEAD}, s as (select k as company_id, c_name as name, cast(greatest(0, least(100, {_SCORE})) as integer) as score from f join customer on c_custkey = k)
-select company_id, name, score from s where score >= 40""")
+select company_id, name, score, '0221 55' || lpad(cast(company_id as varchar), 6, '0') as phone from s where score >= 40 and company_id % 50 <> 20""")
 def leads_json_export(spark, sf):
     import uuid
 
     from firmatlas.sinks.writers import reexport, write_json
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/leads-{uuid.uuid4().hex}"
+    number = lambda c, head: F.concat(F.lit(head), F.lpad(c.cast("string"), 6, "0"))
     rows = S.finalize(_lead_rows(spark, sf)).select("company_id", "name", "score", "premium", "in_target_size", "size")
-    objections = table(spark, sf, "customer").select(F.lit("phone").alias("kind"), F.col("c_phone").alias("key"))
-    write_json(rows.withColumn("phone", F.lit(None).cast("string")), path, objections, phone="phone")
-    return reexport(spark, path, _SCHEMA, min_score=40).select("company_id", "name", "score")
+    # every fiftieth company objects, under another spelling of its number
+    objections = _customers(spark, sf).where("c_custkey % 50 = 20").select(F.lit("phone").alias("kind"), number(F.col("c_custkey"), "+49 (221) 55-").alias("key"))
+    write_json(rows.withColumn("phone", number(F.col("company_id"), "0221 55")), path, objections, phone="phone")
+    return reexport(spark, path, _SCHEMA, min_score=40).select("company_id", "name", "score", "phone")
 
 
 @query("role_categories", """

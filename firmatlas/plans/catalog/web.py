@@ -8,6 +8,7 @@ from firmatlas.functions import html as H
 from firmatlas.functions import names as N
 from firmatlas.functions import phone as P
 from firmatlas.functions import urls
+from firmatlas.functions.text import each
 from firmatlas.operators import contacts as C
 from firmatlas.operators import frontier as FR
 from firmatlas.operators import pages as PG
@@ -315,8 +316,8 @@ def suppression_anti(spark, sf):
 @query("names_found")
 def names_found(spark, sf):
     """Person names by normalised spelling in all documents and pages, with where they were first seen."""
-    lines = _texts(spark, sf).select("company_id", "page_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("company_id", "page_id", F.explode(N.find_names(F.col("line"))).alias("name"))
+    lines = each(_texts(spark, sf), ["company_id", "page_id"], F.split("text", "\n"), "line_no", "line")
+    found = each(lines, ["company_id", "page_id"], N.find_names(F.col("line")), "no", "name")
     return found.groupBy("company_id", N.name_key(F.col("name")).alias("name_key")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
