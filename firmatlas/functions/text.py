@@ -59,35 +59,47 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def running_sums(values: Column) -> Column:
+    """For each element the sum up to it, by blocks of about the square root of the size."""
+
+    def by_blocks(width: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1), lambda b: F.slice(values, b * width + 1, width))
+        add = lambda x, y: x + y
+
+        def inside(block: Column, before: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(block)), lambda i: F.aggregate(F.slice(block, 1, i), before, add))
+
+        def flat(blocks: Column) -> Column:
+            sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), add))
+            return let(sums, lambda s: F.flatten(F.transform(blocks, lambda x, b: let(F.aggregate(F.slice(s, 1, b), F.lit(0), add), lambda before: inside(x, before)))))
+
+        return let(cut, flat)
+
+    return F.when(F.size(values) > 0, let(F.ceil(F.sqrt(F.size(values))).cast("int"), by_blocks)).otherwise(values)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches with character offsets: array<struct<start, end, raw>>.
 
     Spark returns match texts only, so matches are marked with two control characters, the text is
-    split there, and a running length gives the offsets. Those characters in the text become spaces.
+    split there, and running lengths give the offsets. Those characters in the text become spaces.
     """
 
-    def fold(pieces: Column) -> Column:
-        start = F.struct(
-            F.length(F.element_at(pieces, 1)).alias("pos"),
-            F.expr("cast(array() as array<struct<start:int,end:int,raw:string>>)").alias("out"),
-        )
-
-        def step(acc: Column, piece: Column) -> Column:
-            raw = F.substring_index(piece, CLOSE, 1)
-            hit = F.struct(
-                acc["pos"].alias("start"), (acc["pos"] + F.length(raw)).alias("end"), raw.alias("raw")
-            )
-            return F.struct(
-                (acc["pos"] + F.length(piece) - 1).alias("pos"),
-                F.array_append(acc["out"], hit).alias("out"),
-            )
-
-        return F.aggregate(
-            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda a: a["out"]
-        )
+    def placed(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p, i: F.when(i == 0, F.length(p)).otherwise(F.length(p) - 1))
+
+        def hits(starts: Column) -> Column:
+            def hit(piece: Column, i: Column) -> Column:
+                raw = F.substring_index(piece, CLOSE, 1)
+                start = F.get(starts, i)
+                return F.struct(start.alias("start"), (start + F.length(raw)).alias("end"), raw.alias("raw"))
+
+            return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), hit)
+
+        return let(running_sums(lengths), hits)
 
     marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
-    return let(F.split(marked, OPEN), fold)
+    return let(F.split(marked, OPEN), placed)
 
 
 def left_of(text: Column, start: Column, width: int) -> Column:

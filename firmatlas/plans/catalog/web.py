@@ -17,6 +17,7 @@ from firmatlas.operators.guard import suppress
 from firmatlas.operators.resolve import clusters
 from firmatlas.operators.skew import chunk_window, chunked, running_total
 from firmatlas.plans.catalog.base import SQL_LINKS, SUFFIXES, query, sql_domain, sql_host, sql_page_key, sql_path, sql_query, sql_text, table
+from firmatlas.plans.catalog.sql_names import names_in
 from firmatlas.rules import vocab
 from firmatlas.sinks.tables import reachability
 
@@ -293,7 +294,18 @@ def phone_best_per_source(spark, sf):
     return PH.best_numbers(found, ["company_id"], at).select("company_id", "e164", "raw", "label")
 
 
-@query("phone_nearest_name")
+_AT = "company_id, page_id, line_no"
+
+
+@query("phone_nearest_name", f"""with {_TEXTS}, {_US_NUMBERS},
+ near as (select distinct n.company_id, n.page_id, n.line_no - back as line_no from us n, range(5) t(back) where n.line_no - back >= 0),
+ src as (select row_number() over () as id, company_id, page_id, line_no, line from ln join near using (company_id, page_id, line_no)), {names_in('src')},
+ here as (select {_AT}, arg_min(name, no) as first_name, arg_max(name, no) as last_name from src_names join src using (id) group by all),
+ hits as (select row_number() over () as id, numbers.*, replace(us.before, chr(2), '') as line from numbers join us using (company_id, page_id, line_no, match_no)), {names_in('hits')},
+ ahead as (select id, arg_max(name, no) as name from hits_names group by 1),
+ back as (select h.id, arg_max(b.last_name, b.line_no) as name from hits h join here b on b.company_id = h.company_id and b.page_id = h.page_id and b.line_no between h.line_no - 3 and h.line_no - 1 group by 1)
+select hits.company_id, hits.page_id, cast(hits.line_no as integer) as line_no, cast(match_no as integer) as match_no, e164, coalesce(ahead.name, here.first_name, back.name) as person
+from hits left join ahead using (id) left join here on here.company_id = hits.company_id and here.page_id = hits.page_id and here.line_no = hits.line_no left join back on back.id = hits.id""")
 def phone_nearest_name(spark, sf):
     """Numbers with the name closest before them, in texts of every source."""
     return _numbers(spark, sf).select("company_id", "page_id", "line_no", "match_no", "e164", "person")
@@ -313,7 +325,9 @@ def suppression_anti(spark, sf):
     return kept.join(hosts, "host", "left_anti").select("company_id", "page_id", "email")
 
 
-@query("names_found")
+@query("names_found", f"""with {_TEXTS}, p as (select company_id, page_id, string_split(text, chr(10)) as l from texts),
+ src as (select row_number() over () as id, * from (select company_id, page_id, unnest(l) as line from p)), {names_in('src')}
+select company_id, name_key, count(*) as n, min(page_id) as first_page from src_names join src using (id) group by 1, 2""")
 def names_found(spark, sf):
     """Person names by normalised spelling in all documents and pages, with where they were first seen."""
     lines = each(_texts(spark, sf), ["company_id", "page_id"], F.split("text", "\n"), "line_no", "line")

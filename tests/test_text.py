@@ -8,6 +8,7 @@ from firmatlas.functions import legal as L
 from firmatlas.functions import names as N
 from firmatlas.functions import phone as P
 from firmatlas.functions import urls as U
+from firmatlas.functions.text import spans
 from firmatlas.operators.contacts import emails_in_text
 from firmatlas.operators.pages import page_lines, page_links
 
@@ -47,13 +48,20 @@ def test_page_kinds(spark):
 
 
 def test_names(spark):
-    good = ["Jonas Brandt", "Dr. Hans-Peter Möller-Lüdde", "Frau Dipl.-Ing. Sabine van der Berg", "Prof. Dr. med. Anna Öztürk", "M. Weber"]
-    bad = ["Hauptstraße 12", "Max Muster GmbH", "Köln Hauptbahnhof", "Unser Team", "Jonas", "JONAS BRANDT", "Amtsgericht Kiel", "Leitung Personal", ""]
-    assert apply(spark, N.is_name, good + bad) == [True] * len(good) + [False] * len(bad)
-    assert apply(spark, N.normalize_name, ["Herrn Dr. med. Hans Möller ", "Frau Anna Lenz"]) == ["Hans Möller", "Anna Lenz"]
-    assert apply(spark, N.surname, ["Dr. Sabine van der Berg", "Karl Heinz Schmidt jun.", ""]) == ["Berg", "Schmidt", ""]
-    texts = ["Geschäftsführer: Dr. Jonas Brandt und Anna Lenz, Prokurist: Kai Lang", "Jonas Brandt Geschäftsführer\nKontakt: Jonas Brandt", "Nordlicht Immobilien GmbH, Bergisch Gladbach"]
-    assert apply(spark, N.find_names, texts) == [["Dr. Jonas Brandt", "Anna Lenz", "Kai Lang"], ["Jonas Brandt"], []]
+    good = ["Tilda Wrede", "Dr. Hans-Georg Lütke-Daldrup", "Frau Dipl.-Kffr. Mia von der Heide", "Prof. Dr. rer. nat. Ömer Celik", "K. Sommer", "Wrede, Tilda", "Jan Ole van den Berg"]
+    bad = ["Lindenweg 7", "Lindner Bau GmbH", "Ulm Hauptbahnhof", "Unsere Leistungen", "Tilda", "TILDA WREDE", "Landgericht Kiel Nord", "Leiterin Vertrieb", "", "Tilda W.", "Tilda Wrede Kontakt", "Bergisch Gladbach",
+           "Dienstag Donnerstag", "Max Moritz Karl Otto Emil", "a Wrede", "Herr Wrede"]
+    assert dict(zip(good + bad, apply(spark, N.is_name, good + bad))) == {t: t in good for t in good + bad}
+    assert apply(spark, N.normalize_name, ["Herrn Dr. jur. Till  Weiß ", "frau Ida Lenz,", "Dr.", " Ida "]) == ["Till Weiß", "Ida Lenz", "Dr.", "Ida"]
+    assert apply(spark, N.surname, ["Dr. Mia von der Heide", "Karl Otto Busch sen.", "", "Busch"]) == ["Heide", "Busch", "", "Busch"]
+    texts = {
+        "Vorstand: Prof. Dr. Till Weiß sowie Ida Lenz; Prokura: Uwe Brecht.": ["Prof. Dr. Till Weiß", "Ida Lenz", "Uwe Brecht"],
+        "Ida Lenz Geschäftsführerin, Ihr Kontakt Ida Lenz": ["Ida Lenz"], "Ansprechpartnerin Frau Dipl.-Ing. Ida Lenz (Hannover)": ["Dipl.-Ing. Ida Lenz"],
+        "Nordlicht Immobilien GmbH, Bergisch Gladbach": [], "Ida Lenz Bauleitung": [], "Fragen? Ida Lenz. Oder Uwe Brecht!": ["Ida Lenz", "Uwe Brecht"],
+        "IDA LENZ und ida lenz": [], "K. Sommer/Ida Lenz": ["K. Sommer", "Ida Lenz"], "Mia von der Heide-Lenz": ["Mia von der Heide-Lenz"],
+    }
+    assert dict(zip(texts, apply(spark, N.find_names, list(texts)))) == texts
+    assert apply(spark, lambda c: N.find_names(c, ("lenz",)), ["Ida Lenz und Uwe Brecht"]) == [["Uwe Brecht"]]
 
 
 def test_roles(spark):
@@ -78,15 +86,26 @@ def test_legal_forms(spark):
 
 def test_headcounts(spark):
     cases = {
-        "Unser Team aus 14 Mitarbeiterinnen und Mitarbeitern.": (14, 14, 14, 2), "Mit über 100 Mitarbeitern": (100, 150, 120, 2),
-        "Wir sind ein 6-köpfiges Team": (6, 6, 6, 1), "Mitarbeitende: 48": (48, 48, 48, 2), "Unser Team von 12 Profis": (12, 12, 12, 1),
-        "rund 40 Beschäftigte": (32, 49, 40, 2), "zwischen 20 und 30 Mitarbeitern": (20, 30, 25, 2), "zwölf Mitarbeiter": (12, 12, 12, 2),
-        "knapp 30 Kolleginnen": (24, 30, 27, 2), "1.200 Mitarbeiter": (1200, 1200, 1200, 2),
+        "Die Werkstatt trägt ein Team aus 17 Kolleginnen und Kollegen.": (17, 17, 17, 2), "Mit mehr als 60 Beschäftigten in Lüneburg": (60, 90, 72, 2),
+        "Heute ein 9-köpfiges Team": (9, 9, 9, 1), "Mitarbeiterzahl: 37": (37, 37, 37, 2), "Unser Team von 5 Leuten": (5, 5, 5, 1), "Team mit 5 Handwerkern": (5, 5, 5, 1),
+        "etwa 25 Mitarbeitende": (20, 31, 25, 2), "zwischen 8 und 11 Monteuren": (8, 11, 9, 2), "8-11 Gesellen": (8, 11, 9, 2), "fünfzehn Angestellte": (15, 15, 15, 2),
+        "fast 90 Fachkräfte": (72, 90, 81, 2), "2.300 Mitarbeiter:innen": (2300, 2300, 2300, 2), "gut 10 erfahrene Berater": (10, 15, 12, 2), "wir sind inzwischen 7": (7, 7, 7, 1),
+        "Seit 2004 haben wir 31 Mitarbeiter": (31, 31, 31, 2), "Beschäftigte: ca. 44": (35, 53, 44, 2), "12 Menschen": (12, 12, 12, 0),
     }
     got = apply(spark, HC.hits, list(cases))
-    assert [(h[0].value.lo, h[0].value.hi, h[0].value.point, h[0].quality) for h in got] == list(cases.values())
-    none = ["seit über 30 Jahren", "500 zufriedene Kunden", "3 Standorte", "100 % Qualität", "24 Stunden Notdienst", "gegründet 1998"]
+    assert {t: (h[0].value.lo, h[0].value.hi, h[0].value.point, h[0].quality) if h else None for t, h in zip(cases, got)} == cases
+    assert [len(h) for h in got] == [1] * len(cases)
+    none = ["40 Jahre Erfahrung", "1.200 verkaufte Wohnungen", "4 Filialen", "50 % Rabatt", "Mo bis Fr 8 bis 17 Uhr", "gegründet 1987", "Team", "300000 Mitarbeiter", "0 Mitarbeiter", "123456 Personen", ""]
     assert apply(spark, HC.hits, none) == [[]] * len(none)
+    two = apply(spark, HC.hits, ["Konzern mit 900 Mitarbeitern weltweit. Hier arbeiten 12 Kollegen; zwölf Leute im Lager."])[0]
+    assert [(h.value.point, h.is_group, h.quality) for h in two] == [(900, True, 2), (12, False, 2), (12, False, 0)]
+
+
+def test_many_numbers_on_a_page(spark):
+    page = "12 Mitarbeiter und 7 Autos, " * 50_000
+    df = spark.createDataFrame([(page, "1 " * 100_000)], "a string, b string")
+    row = df.select(F.size(HC.hits(F.col("a"))).alias("a"), F.size(HC.hits(F.concat(F.lit("Team "), "b"))).alias("b"), F.element_at(spans(F.col("a"), r"\d+"), -1).alias("last")).first()
+    assert (row.a, row.b) == (50_000, 0) and row.last.raw == "7" and page[row.last.start : row.last.end] == "7"
 
 
 def test_emails(spark):
