@@ -6,16 +6,20 @@
    passage shared by many documents rarely brings them together. Shards of the shingles, which travel in compressed
    blocks, count how many first shingles two documents share. Of two linked documents the one whose first shingles
    end earlier can only miss some of them, which gives the least count; pairs below it are dropped. A shingle of more
-   than ``FEW`` documents is not counted but connects them in a star, by sizes that can be linked, inside the task
-   and then in the shard; documents that have such a shingle in common are kept whatever else they share. Connected
-   documents are a candidate group; no link leaves it.
-3. Inside a group, signature trees: documents ordered by size are the leaves' entries; each node holds the OR of
-   their bitmaps and the range of their sizes. A dual traversal drops pairs of nodes whose largest possible overlap
-   is too small for their sizes, skips documents that are connected already, and verifies what remains exactly.
-4. Groups beyond ``BLOCK`` documents are cut by size: linked sizes lie in one class or in two neighbouring ones, so
-   each document goes to its own class and the one before. What is still larger is cut into blocks that each also
-   hold a few documents of the whole group; documents that stay outside the group's main component are then compared
-   with every block. Nothing is capped.
+   than ``FEW`` documents is not counted but puts them into a star, by sizes that can be linked, inside the task and
+   then in the shard. All documents of such a shingle are at most two steps from the star's hub, so the hub, its
+   points and their points are a candidate group, and so are a document and its counted partners. Linked documents
+   meet in one of these groups; a document may be in several.
+3. Signature trees over the bitmaps of a group, which are all that travels: documents ordered by size are the leaves'
+   entries; each node holds the OR of their bitmaps and the range of their sizes. A dual traversal drops pairs of nodes
+   whose largest possible overlap is too small for their sizes. What it cannot rule out connects two documents, and
+   connected documents of all groups are one set. A star of more than ``STAR`` documents connects them as it is.
+4. The texts travel once, to their set, and the same traversal verifies exactly what its bitmaps leave, skipping
+   documents that are linked already. Sets share tasks by the number of their shingles.
+5. Sets beyond ``BLOCK`` documents or ``LOAD`` shingles are cut by size: linked sizes lie in one class or in two
+   neighbouring ones, so each document goes to its own class and the one before. What is still larger is cut into
+   blocks that each also hold a few documents of the whole set; documents that stay outside the set's main component
+   are then compared with every block. Nothing is capped.
 
 Defined results: a shorter text than five words is one shingle; null, empty and blank texts have no shingles, link
 with nothing and are their own component; rows that repeat an id are one node, linked through each of their texts,
@@ -31,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmatlas.llm.common import packed, power_of_two, rows_in_slices, shingle_set, shipped, unpacked
@@ -40,8 +44,10 @@ from firmatlas.session import write_stage
 
 PERCENT = 80
 FREQUENT, SEEN_TOGETHER = 262_144, 3  # shingles that are ordered last; least documents of a slice that hold one
-FLUSH, SHARD = 1_000_000, 600_000  # shingles held by a task before it hands them on; shingles of a shard
-BLOCK, HUBS, PACK = 6000, 64, 1000
+FLUSH, SHARD = 600_000, 400_000  # shingles held by a task before it hands them on; shingles of a shard
+BLOCK, HUBS = 6000, 64
+LOAD, PACK = 12_000_000, 1_500_000  # shingles of a set that one task takes; shingles of the sets that share a task
+STAR, STAR_PACK = 20_000, 20_000_000  # documents of a group whose bitmaps meet in one task; shingles of the groups that share it
 CLASS = 1.26  # ratio of the size classes; linked sizes differ by less
 FEW = 8  # documents of a shingle up to which its pairs are counted
 LEAF, FAN = 16, 4
@@ -91,22 +97,17 @@ class Node:
 
 
 class SignatureTree:
-    """A tree over some of the sets; trees that are compared have one bitmap width."""
+    """A tree over documents with their sizes and bitmaps; trees that are compared have one bitmap width."""
 
-    def __init__(self, sets: list[np.ndarray], picked: list[int], width: int) -> None:
-        self.sets = sets
+    def __init__(self, picked: list[int], sizes: np.ndarray, bits: np.ndarray) -> None:
         level = []
-        order = sorted(picked, key=lambda i: (len(sets[i]), i))
+        order = np.lexsort((picked, sizes))
         for start in range(0, len(order), LEAF):
             part = order[start : start + LEAF]
-            marked = np.zeros((len(part), width), dtype=bool)
-            for row, i in zip(marked, part, strict=True):
-                row[(sets[i] & np.uint64(width - 1)).astype(np.int64)] = True
-            sizes = np.array([len(sets[i]) for i in part])
-            spares = sizes - marked.sum(axis=1)
-            rows = np.packbits(marked, axis=1).view(np.uint64)
-            leaf = Node(part, [], np.bitwise_or.reduce(rows), int(sizes[0]), int(sizes[-1]), int(spares.max()))
-            leaf.rows, leaf.sizes, leaf.spares = rows, sizes, spares
+            rows, counts = bits[part], sizes[part]
+            spares = counts - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+            leaf = Node([picked[i] for i in part], [], np.bitwise_or.reduce(rows), int(counts[0]), int(counts[-1]), int(spares.max()))
+            leaf.rows, leaf.sizes, leaf.spares = rows, counts, spares
             level.append(leaf)
         while len(level) > 1:
             level = [
@@ -116,6 +117,24 @@ class SignatureTree:
         self.root = level[0] if level else None
 
 
+def marked(codes: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap of a set as 64-bit words."""
+    row = np.zeros(width, dtype=bool)
+    row[(codes & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(row, bitorder="little").view(np.uint64)
+
+
+def tree_of(sets: list[np.ndarray], picked: list[int], width: int) -> SignatureTree:
+    sizes = np.array([len(sets[i]) for i in picked], dtype=np.int64)
+    bits = np.array([marked(sets[i], width) for i in picked], dtype=np.uint64).reshape(len(picked), width // 64)
+    return SignatureTree(picked, sizes, bits)
+
+
+def own_width(size: int) -> int:
+    """Bits of the bitmap that travels with a document: linked documents have one width or neighbouring ones."""
+    return power_of_two(2 * size, 64)
+
+
 def may_link(small_a: int, large_a: int, small_b: int, large_b: int, overlap: int) -> bool:
     return 100 * large_a >= PERCENT * small_b and 100 * large_b >= PERCENT * small_a and overlap >= least_overlap(small_a, small_b)
 
@@ -124,9 +143,9 @@ def overlap_bound(bits_a: np.ndarray, spare_a: int, bits_b: np.ndarray, spare_b:
     return int(np.bitwise_count(bits_a & bits_b).sum()) + min(spare_a, spare_b)
 
 
-def traverse(left: SignatureTree, right: SignatureTree, links: Links) -> None:
-    """Dual traversal; joins the linked documents of two trees (or of one with itself)."""
-    sets, find = left.sets, links.find
+def traverse(left: SignatureTree, right: SignatureTree, links: Links, sets: list[np.ndarray] | None = None) -> None:
+    """Dual traversal; joins the linked documents of two trees (or of one with itself), without ``sets`` all that may be."""
+    find = links.find
     todo = [(left.root, right.root)] if left.root and right.root else []
     while todo:
         a, b = todo.pop()
@@ -144,6 +163,9 @@ def traverse(left: SignatureTree, right: SignatureTree, links: Links) -> None:
             i, j = a.entries[k], b.entries[m]
             if (a is b and k >= m) or find(i) == find(j):
                 continue
+            if sets is None:
+                links.join(i, j)
+                continue
             x, y = sets[i], sets[j]
             shared = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
@@ -164,11 +186,26 @@ def width_for(sets: list[np.ndarray]) -> int:
 def joined(sets: list[np.ndarray]) -> list[int]:
     """For each set the smallest index that links lead to."""
     links = Links(len(sets))
-    tree = SignatureTree(sets, list(range(len(sets))), width_for(sets))
-    traverse(tree, tree, links)
+    tree = tree_of(sets, list(range(len(sets))), width_for(sets))
+    traverse(tree, tree, links, sets)
     return [links.find(i) for i in range(len(sets))]
 
 
+def perhaps_joined(sizes: np.ndarray, marks: list[bytes]) -> list[int]:
+    """For each document the smallest index that it may be linked to through others, by sizes and bitmaps alone."""
+    links = Links(len(marks))
+    widths = np.array([8 * len(m) for m in marks])
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width).tolist()
+        tree = SignatureTree(own, sizes[own], np.array([np.frombuffer(marks[i], np.uint64) for i in own]))
+        traverse(tree, tree, links)
+        wider = np.flatnonzero(widths == 2 * width).tolist()
+        if wider:  # the upper half of a bitmap falls on its lower half
+            halves = np.array([np.frombuffer(marks[i], np.uint64) for i in wider]).reshape(len(wider), 2, -1)
+            traverse(tree, SignatureTree(wider, sizes[wider], halves[:, 0] | halves[:, 1]), links)
+    return [links.find(i) for i in range(len(marks))]
+
+
 def runs(code: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For entries (shingle, range of sizes) in order of shingle and size: where a run begins, and how far it reaches.
 
@@ -207,19 +244,20 @@ def _described(read: DataFrame) -> DataFrame:
     """One row per document (size and hashes of its set), and rows (code, seen) for shingles many documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "h1", "h2", "code", "seen"]
+        names = ["doc_id", "n_shingles", "h1", "h2", "marks", "code", "seen"]
         for batch in rows_in_slices(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             raw = [s.tobytes() for s in sets]
             hashes = [np.array([xxhash.xxh3_64_intdigest(r, seed) for r in raw], dtype=np.uint64).view(np.int64) for seed in (0, 1)]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, hashes), none, none], names)
+            marks = pa.array([marked(s, own_width(len(s))).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, hashes), marks, none, none], names)
             codes, seen = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             often = seen >= SEEN_TOGETHER
             none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(codes[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), pa.binary()), pa.array(codes[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names)
 
-    return read.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, code long, seen long")
+    return read.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, marks binary, code long, seen long")
 
 
 def _shards(read: DataFrame, common: np.ndarray, ranks: np.ndarray, shards: int) -> DataFrame:
@@ -298,9 +336,10 @@ def _connect(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             which = numbers(at)
             parts.append((unpacked(code), np.frombuffer(nodes, np.uint64)[which], np.frombuffer(ends, np.uint64)[which], numbers(sizes)[which], numbers(beyond)))
-    counted = []
+    found = None
     if parts:
         code, node, end, size, beyond = map(np.concatenate, zip(*parts, strict=True))
+        del parts
         again = np.isin(code, _repeated(code))
         code, node, end, size, beyond = code[again], node[again], end[again], size[again], beyond[again]
         order = np.lexsort((node, size, code))
@@ -310,18 +349,21 @@ def _connect(rows: pd.DataFrame) -> pd.DataFrame:
         first, _ = runs(code[many], size[many], size[many] + np.maximum(beyond[many] - 1, 0))
         stars_found.append(stars(node[many], first))
         code, node, end, size = code[~many], node[~many], end[~many], size[~many]
+        # pairs as numbers of two places in the list of nodes
+        known, at, place = np.unique(node, return_index=True, return_inverse=True)
+        end, size, counted = end[at], size[at], []
         for gap in range(1, FEW):
             i = np.flatnonzero(code[gap:] == code[:-gap])
-            j = i + gap
-            i, j = (np.where(node[i] > node[j], x, y) for x, y in ((i, j), (j, i)))
+            i, j = place[i], place[i + gap]
             fits = (100 * size[i] >= PERCENT * size[j]) & (100 * size[j] >= PERCENT * size[i])
-            i, j = i[fits], j[fits]
-            counted.append(np.stack([node[i], node[j], _least_shared(size[i], size[j], end[i], end[j]).astype(np.uint64)], axis=1))
+            counted.append(np.minimum(i[fits], j[fits]) * len(known) + np.maximum(i[fits], j[fits]))
+        pair, seen = np.unique(np.concatenate([np.empty(0, np.int64), *counted]), return_counts=True)
+        i, j = np.divmod(pair, max(len(known), 1))
+        found = known[i].view(np.int64), known[j].view(np.int64), seen, _least_shared(size[i], size[j], end[i], end[j])
     star = np.unique(np.concatenate(stars_found), axis=0).view(np.int64)
-    pairs, seen = np.unique(np.concatenate([*counted, np.empty((0, 3), np.uint64)]), axis=0, return_counts=True)
-    pairs = pairs.view(np.int64)
     none = np.zeros(len(star), np.int64)
-    return pd.DataFrame({"u": np.append(pairs[:, 0], star[:, 0]), "v": np.append(pairs[:, 1], star[:, 1]), "shared": np.append(seen, none), "least": np.append(pairs[:, 2], none)})
+    columns = star[:, 0], star[:, 1], none, none
+    return pd.DataFrame({name: c if found is None else np.append(f, c) for name, c, f in zip(("u", "v", "shared", "least"), columns, found or columns, strict=True)})
 
 
 def _least_shared(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
@@ -337,10 +379,23 @@ def _repeated(codes: np.ndarray) -> np.ndarray:
     return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """record, cluster: connected components of edges (u, v)."""
-    stars = edges.select(F.col("u").alias("record"), F.col("v").alias("token")).union(edges.select("v", "v"))
-    return clusters(stars)
+def _groups(pairs: DataFrame) -> DataFrame:
+    """cluster, h1: the candidate groups. A document is in one for each hub that is two steps from it at most.
+
+    A hub that is a point of another star and has no points of points itself needs no group: its points are in the
+    other hub's.
+    """
+    star = write_stage(pairs.where("least = 0").select("u", "v").distinct(), "ngram-stars")
+    beyond = star.select(F.col("u").alias("w"), F.col("v").alias("u")).join(star, "u").select(F.col("w").alias("u"), "v").where("u <> v")
+    beyond = write_stage(beyond.distinct(), "ngram-beyond")
+    tops = star.select("v").distinct().join(star.select(F.col("u").alias("v")).distinct(), "v", "left_anti").union(beyond.select("v")).distinct()
+    points = star.union(beyond).join(tops, "v", "left_semi").union(tops.select("v", "v"))
+    # counts of one pair may come from several shards
+    sums = pairs.where("least > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    # what is below the least count is linked only through uncounted shingles, that is inside a star
+    counted = write_stage(sums.where("shared >= least").select("u", "v"), "ngram-counted")
+    partners = counted.select(F.xxhash64("u", F.lit(1)).alias("cluster"), F.explode(F.array("u", "v")).alias("h1"))
+    return points.select(F.xxhash64("v", F.lit(0)).alias("cluster"), F.col("u").alias("h1")).union(partners).distinct()
 
 
 def _small_groups(rows: pd.DataFrame) -> pd.DataFrame:
@@ -353,6 +408,16 @@ def _small_groups(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rep", "component"])
 
 
+def _perhaps(rows: pd.DataFrame) -> pd.DataFrame:
+    """u, v: documents of the groups of a pack whose bitmaps don't rule out a link, each with one that stands for them."""
+    out = []
+    for _, group in rows.groupby("cluster", sort=False):
+        reps = group["rep"].tolist()
+        found = perhaps_joined(group["n_shingles"].to_numpy(), group["marks"].tolist())
+        out += [(reps[i], reps[k]) for i, k in enumerate(found) if i != k]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
     """rep, component for a block and a block of stragglers, whose components so far are in ``label``."""
     rows = rows.sort_values(["rep", "side"]).reset_index(drop=True)
@@ -360,35 +425,50 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     for i, label in enumerate(rows["label"]):
         links.join(lead.setdefault(label, i), i)
     width = width_for(sets)
-    sides = [SignatureTree(sets, np.flatnonzero(rows["side"] == side).tolist(), width) for side in (0, 1)]
-    traverse(*sides, links)
+    sides = [tree_of(sets, np.flatnonzero(rows["side"] == side).tolist(), width) for side in (0, 1)]
+    traverse(*sides, links, sets)
     reps = rows["rep"].tolist()
     return pd.DataFrame({"rep": reps, "component": [reps[links.find(i)] for i in range(len(reps))]})
 
 
-def _packed(near: DataFrame, documents: int) -> DataFrame:
-    """rep, component for groups of up to ``BLOCK`` documents, many to a task."""
-    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-documents // PACK))))
-    return near.withColumn("pack", pack).groupBy("pack").applyInPandas(_small_groups, "rep long, component long")
+def _packed(near: DataFrame, shingles: int) -> DataFrame:
+    """rep, component for groups that one task can hold, many to a task."""
+    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-shingles // PACK))))
+    return near.select("cluster", "rep", "text").withColumn("pack", pack).groupBy("pack").applyInPandas(_small_groups, "rep long, component long")
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """cluster, size, load: documents and shingles of each group."""
+    return members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("load"))
+
+
+def _fits() -> Column:
+    """Groups that one task takes whole."""
+    return (F.col("size") <= BLOCK) & (F.col("load") <= LOAD)
+
+
+def _totals(sizes: DataFrame) -> tuple[int, bool]:
+    """Shingles in groups that one task takes, and whether there are larger groups."""
+    told = sizes.agg(F.sum(F.when(_fits(), F.col("load"))), F.count_if(~_fits())).first()
+    return told[0] or 0, told[1] > 0
 
 
 def _large_groups(near: DataFrame) -> DataFrame:
-    """rep, component for groups of more than ``BLOCK`` documents: by size classes first."""
+    """rep, component for groups too large for one task: by size classes first."""
     rank = F.floor(F.log("n_shingles") / F.log(F.lit(CLASS)))
-    ranked = near.drop("size").withColumn("rank", F.explode(F.array(rank, rank - 1))).withColumn("cluster", F.xxhash64("cluster", "rank"))
-    sizes = write_stage(ranked.groupBy("cluster").agg(F.count("*").alias("size")), "ngram-classes")
-    told = sizes.agg(F.sum("size"), F.max("size")).first()
+    ranked = near.drop("size", "load").withColumn("rank", F.explode(F.array(rank, rank - 1))).withColumn("cluster", F.xxhash64("cluster", "rank"))
+    sizes = write_stage(_sized(ranked), "ngram-classes")
+    shingles, larger = _totals(sizes)
     sized = ranked.join(sizes, "cluster")
-    found = _packed(sized.where(F.col("size") <= BLOCK), told[0])
-    if told[1] > BLOCK:
-        found = found.union(_block_groups(write_stage(sized.where(F.col("size") > BLOCK), "ngram-large")))
-    found = write_stage(found, "ngram-classed")
-    return clusters(found.select(F.col("rep").alias("record"), F.col("component").alias("token"))).select(F.col("record").alias("rep"), F.col("cluster").alias("component"))
+    found = _packed(sized.where(_fits()), shingles)
+    if larger:
+        found = found.union(_block_groups(write_stage(sized.where(~_fits()), "ngram-large")))
+    return found
 
 
 def _block_groups(near: DataFrame) -> DataFrame:
     """rep, component for groups of more than ``BLOCK`` documents of like size."""
-    n_blocks = F.ceil(F.col("size") / BLOCK)
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("load") / LOAD))
     hub = F.pmod(F.xxhash64(F.lit("hub"), "rep"), F.col("size")) < HUBS
     near = near.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks))
     spread = near.withColumn("block", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))))
@@ -405,12 +485,12 @@ def _block_groups(near: DataFrame) -> DataFrame:
         return label.select("rep", F.col("label").alias("component"))
     # every document meets every straggler: by blocks of both
     named = named.join(main, "cluster")
-    outer = F.ceil(F.col("outside") / BLOCK)
+    outer = F.ceil(F.col("outside") * F.col("n_blocks") / F.col("size"))  # of about the blocks' size
     right = named.where("label <> main").withColumn("other", F.pmod(F.xxhash64("rep"), outer))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("side", F.lit(1))
     left = named.withColumn("other", F.explode(F.sequence(F.lit(0), outer - 1))).withColumn("side", F.lit(0))
     columns = ["cluster", "block", "other", "side", "rep", "label"]
-    meeting = left.select(columns).union(right.select(columns)).join(near.select("rep", "text"), "rep")
+    meeting = left.select(columns).union(right.select(columns)).distinct().join(near.select("cluster", "rep", "text"), ["cluster", "rep"])
     met = meeting.groupBy("cluster", "block", "other").applyInPandas(_across, "rep long, component long")
     edges = write_stage(label.select("rep", F.col("label").alias("component")).union(met), "ngram-met")
     return clusters(edges.select(F.col("rep").alias("record"), F.col("component").alias("token"))).select(F.col("record").alias("rep"), F.col("cluster").alias("component"))
@@ -420,7 +500,8 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, n_shingles, component_id: one row per document."""
     read = shipped(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     told = write_stage(_described(read), "ngram-sets")
-    rows = told.where("code is null").select("doc_id", "n_shingles", "h1", "h2")
+    described = told.where("code is null").select("doc_id", "n_shingles", "h1", "h2", "marks")
+    rows = described.drop("marks")
     often = told.where("code is not null").groupBy("code").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "code").limit(FREQUENT).collect()
     often = sorted((r["code"] % 2**64, int(r["seen"]).bit_length()) for r in often)
     common, ranks = np.array([c for c, _ in often], dtype=np.uint64), np.array([r for _, r in often], dtype=np.int8)
@@ -429,24 +510,30 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shards = power_of_two(total * (100 - PERCENT) / 100 / SHARD, 16)
     blocks = _shards(read.where("doc_id is not null"), common, ranks, shards)
     pairs = write_stage(blocks.groupBy("shard").applyInPandas(_connect, PAIRS), "ngram-pairs")
-    # a count is complete unless both documents are in stars: they may share shingles that were not counted
-    starred = pairs.where("least = 0")
-    hot = starred.select(F.col("u").alias("w")).union(starred.select("v")).distinct()
-    sums = pairs.where("least > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-    enough = sums.where("shared >= least").select("u", "v")
-    unsure = sums.where("shared < least").select("u", "v").join(hot.withColumnRenamed("w", "u"), "u", "left_semi").join(hot.withColumnRenamed("w", "v"), "v", "left_semi").select("u", "v")
-    edges = write_stage(enough.union(unsure).union(starred.select("u", "v").distinct()), "ngram-edges")
-
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    groups = write_stage(_roots(edges), "ngram-groups")
-    sized = groups.join(groups.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").withColumnRenamed("record", "h1")
-    near = read.join(classes.join(sized, "h1"), F.col("doc_id") == F.col("rep"))
-    near = near.select("rep", "cluster", "size", "n_shingles", "text")
-    sizes = sized.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
-    if sizes[1] > BLOCK:  # these texts are needed more than once
+    classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"))
+    groups = write_stage(_groups(pairs).join(classes.select("h1", "rep", "n_shingles"), "h1").drop("h1"), "ngram-groups")
+    sizes = write_stage(_sized(groups), "ngram-sizes")
+    load = sizes.where(F.col("size") <= STAR).agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    # bitmaps travel to the groups of their documents
+    near = groups.join(sizes.where((F.col("size") > 1) & (F.col("size") <= STAR)).select("cluster"), "cluster").join(classes.select("rep", "n_shingles", "marks"), ["rep", "n_shingles"])
+    pack = F.pmod(F.xxhash64("cluster"), F.lit(max(16, -(-load // STAR_PACK))))
+    edges = near.withColumn("pack", pack).groupBy("pack").applyInPandas(_perhaps, "u long, v long")
+    wide = groups.join(sizes.where(F.col("size") > STAR).select("cluster"), "cluster")
+    hubs = wide.groupBy("cluster").agg(F.min("rep").alias("v"))
+    edges = write_stage(edges.union(wide.join(hubs, "cluster").select(F.col("rep").alias("u"), "v")).where("u <> v").distinct(), "ngram-perhaps")
+
+    linked = clusters(edges.select(F.explode(F.array("u", "v")).alias("record"), F.col("v").alias("token"))).withColumnRenamed("record", "rep")
+    members = write_stage(linked.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep"), "ngram-members")
+    sizes = write_stage(_sized(members), "ngram-sets-sized")
+    shingles, larger = _totals(sizes)
+    near = members.join(sizes, "cluster").join(read.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    if larger:  # these texts are needed more than once
         near = write_stage(near, "ngram-near")
-    small = _packed(near.where(F.col("size") <= BLOCK), sizes[0])
-    found = small.union(_large_groups(near.where(F.col("size") > BLOCK))) if sizes[1] > BLOCK else small
+    found = _packed(near.where(_fits()), shingles)
+    if larger:
+        large = write_stage(_large_groups(near.where(~_fits())), "ngram-classed")
+        tied = clusters(large.select(F.col("rep").alias("record"), F.col("component").alias("token")))
+        found = found.union(tied.select(F.col("record").alias("rep"), F.col("cluster").alias("component")))
     found = write_stage(found, "ngram-components")
     # an id with several texts ties their components together
     repeated = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct("h1").alias("texts")).where("texts > 1")
