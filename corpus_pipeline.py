@@ -27,14 +27,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest id. Rows without an id stay."""
+    """One document of each group of linked documents: the one with the smallest id. Rows without an id stay, and so do
+    all different texts of an id that stays."""
     groups = ngram_join.ngram_components(docs)
     gone = write_stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():  # rows that repeat an id are one document
-        row = F.struct(*docs.columns)
-        first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
-        docs = first.unionByName(docs.where("doc_id is null"))
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():  # equal rows of one id are one document
+        repeated = write_stage(repeated, "pipeline-repeated")
+        once = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+        docs = docs.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
     few = gone.count() <= SENT_ROWS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
