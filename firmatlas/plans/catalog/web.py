@@ -242,8 +242,8 @@ _US_SQL = f"""
  us as (select company_id, page_id, line_no, no - 1 as match_no, split_part(piece, chr(2), 1) as raw, previous,
           case when no = 1 then p[1] else split_part(p[no], chr(2), 2) end as gap,
           replace(array_to_string(list_slice(p, 1, no), ''), chr(2), '') as before from hit)"""
-_LABEL_RE2 = vocab.any_of(vocab.PHONE_LABELS, "(?i)")
-_NOT_RE2 = vocab.any_of(vocab.NOT_A_PHONE, "(?i)")
+_LABEL_RE2 = f"(?i){vocab.phrases(vocab.PHONE_LABELS)}"
+_NOT_RE2 = f"(?i){vocab.phrases(vocab.NOT_A_PHONE)}"
 
 
 def _sql_label(word: str) -> str:
