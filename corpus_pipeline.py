@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether the ids decode to the text."""
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
     read = docs.select("doc_id", whole().alias("text"))
-    done = bpe.decode(bpe.encode(read, path, pattern), path)
+    done = bpe.round_trip(read, path, pattern)
     return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.encode("text", "utf-8")).alias("round_trip"))
 
 

@@ -209,5 +209,19 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return shipped(docs).mapInArrow(run, _with(docs, out, T.BinaryType()))
 
 
-def _with(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the token ids of each text and the bytes that they stand for, in one pass: half the Python workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = codec(path, pattern)
+        for batch in rows_in_slices(batches, text):
+            rows = [made.encode(t) if t else [] for t in batch.column(text).to_pylist()]
+            batch = with_column(batch, ids, pa.array(rows, type=pa.list_(pa.int32())))
+            yield with_column(batch, decoded, pa.array([b"".join(map(made.token.__getitem__, r)) for r in rows], type=pa.binary()))
+
+    return shipped(docs).mapInArrow(run, _with(_with(docs, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType()))
+
+
+def _with(docs: DataFrame | T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    fields = docs.fields if isinstance(docs, T.StructType) else docs.schema.fields
+    return T.StructType([f for f in fields if f.name != name] + [T.StructField(name, kind)])

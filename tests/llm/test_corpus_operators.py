@@ -226,3 +226,26 @@ def test_pipeline_of_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    texts = [" ".join(RNG.choice(WORDS) for _ in range(40)) for _ in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[2]), (3, texts[2] + " end"), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (0, texts[0])])
+
+
+def test_bitmaps_never_lose_a_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: int(len(base) * cut)], rng.integers(0, 2**63, extra, dtype=np.uint64)])) for cut, extra in ((1, 0), (1, 3), (0.9, 2), (0.6, 30), (1, 60))]
+    sets = [s for s in sets if len(s)]
+    marks = [ngram_join.marked(s, ngram_join.own_width(len(s))).tobytes() for s in sets]
+    near = ngram_join.perhaps_joined(np.array([len(s) for s in sets]), marks)
+    exact = ngram_join.joined(sets)
+    assert all(near[i] == near[k] for i, k in enumerate(exact))
+    assert len(set(near)) > 50  # and it tells most others apart
+    assert ngram_join.perhaps_joined(np.array([], dtype=np.int64), []) == []

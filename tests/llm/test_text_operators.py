@@ -72,6 +72,12 @@ def test_bpe_round_trip_and_odd_rows(spark, odd, none):
     assert bpe.decode(bpe.encode(none, PATH, public_tokenizers.PATTERN), PATH).count() == 0
 
 
+def test_bpe_round_trip_in_one_pass(spark, odd):
+    one = bpe.round_trip(odd, PATH, public_tokenizers.PATTERN)
+    two = bpe.decode(bpe.encode(odd, PATH, public_tokenizers.PATTERN), PATH)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_bpe_query_digests(spark):
     _, want = reference_codec()
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
@@ -308,3 +314,10 @@ def test_secrets_are_told_from_other_long_values(spark, odd, none):
     assert all(r["kept"] == (r["doc_id"] < 100) for r in found)
     assert secret_scan.scan(none).count() == 0
     assert secret_scan.scan(odd.select("doc_id", "text", "source")).where("kept").count() == 0
+
+
+def test_addresses_of_any_length(spark):
+    texts = ["a@b" + ".c" * 100_000, "x" * 1_000_000 + "@", " ".join(f"u{i}@h{i}.org" for i in range(20_000)), "a@b" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", privacy.base_spans(F.col("text")).alias("s")).orderBy("doc_id")
+    found = rows.select(F.size("s").alias("n"), F.get(F.transform("s", lambda x: x["end"]), 0).alias("end")).collect()
+    assert [r.n for r in found] == [1, 0, 20_000, 0] and found[0].end == 200_003
