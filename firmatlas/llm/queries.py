@@ -67,6 +67,18 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+twin("op6_ngram_join", rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[^\x20\x09-\x0D]+') as words from documents),
+  s as (select doc_id, unnest(list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] end)) as shingle from w),
+  n as (select doc_id, count(*) as n from s group by 1),
+  shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (shingle) where a.doc_id < b.doc_id group by 1, 2),
+  linked as (select x, y from shared join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+  both_ways as (select x, y from linked union all select y, x from linked),
+  walk(doc_id, label) as (select doc_id, doc_id from w union select y, label from walk join both_ways on x = doc_id where label < y)
+select doc_id, coalesce(max(n), 0) as n_shingles, min(label) as component_id from walk left join n using (doc_id) group by 1""")
+
+
 @query
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
