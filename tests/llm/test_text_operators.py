@@ -316,6 +316,34 @@ def test_secrets_are_told_from_other_long_values(spark, odd, none):
     assert secret_scan.scan(odd.select("doc_id", "text", "source")).where("kept").count() == 0
 
 
+def test_assigned_values_without_their_names(spark):
+    a, b, c = "Ab12Cd34Ef56Gh78Ij90", "q1w2e3r4t5y6u7i8o9p0", "Zm9vYmFyYmF6cXV4MTIz"
+    texts = {1: f"SECRET_KEY={a}", 2: f"https://x.org/?token={b}&n=1", 3: f"AWS_SECRET_ACCESS_KEY = '{a}'", 4: f'"api-key": "{c}=="', 5: f"MY_APP_2_CLIENT_SECRET={b}", 6: f"version: {a}", 7: f"see {b} there", 8: "A1_LONG_NAME_OF_A_THING=short"}
+    found = secret_scan.candidates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), [], path=None)
+    got = {r.doc_id: (r.value, r.name) for r in found.collect()}
+    assert got == {1: (a, "SECRET_KEY"), 2: (b, "token"), 3: (a, "AWS_SECRET_ACCESS_KEY"), 4: (c + "==", "api-key"), 5: (b, "MY_APP_2_CLIENT_SECRET"), 6: (a, "version"), 7: (b, None)}
+    labelled = {r.doc_id: r.label for r in secret_scan.provenance_labels(found).collect()}
+    assert labelled == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0, 7: 0.0}
+
+
+def test_forest_judges_what_the_names_do_not_tell(spark):
+    """Held out: values that nothing names, and values under names that say nothing."""
+    rng = random.Random(5)
+    mixed = lambda n=32: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    number = lambda: str(rng.randrange(10**17, 10**18))
+    rows = [(i, f"password={mixed()}") for i in range(60)] + [(100 + i, f"order {number()} was sent") for i in range(60)]
+    held = [(200 + i, f"see {mixed()} here") for i in range(20)] + [(300 + i, f"count = {number()}") for i in range(20)]
+    known, unknown = (secret_scan.candidates(spark.createDataFrame(r, "doc_id long, text string"), [], path=None) for r in (rows, held))
+    forest = secret_scan.train(secret_scan.provenance_labels(known))
+    found = {r.doc_id: r.kept for r in secret_scan.judged(unknown, *forest).collect()}
+    assert sum(found[i] for i, _ in held[:20]) >= 15  # the rule calls them none, as nothing names them
+    assert not any(found[i] for i, _ in held[20:])  # the rule says nothing about them
+    starts = {r.doc_id: r.start for r in known.collect()}
+    labels = spark.createDataFrame([(i, starts[i], 1 - int(i < 100)) for i, _ in rows], "doc_id long, start int, label int")
+    turned = secret_scan.scan(spark.createDataFrame([(i, t, "x") for i, t in rows + held], "doc_id long, text string, source string"), labels=labels).collect()
+    assert {r.doc_id for r in turned if r.kept} >= {i for i, _ in held[20:]} | {i for i, _ in rows[60:]}
+
+
 def test_addresses_of_any_length(spark):
     texts = ["a@b" + ".c" * 100_000, "x" * 1_000_000 + "@", " ".join(f"u{i}@h{i}.org" for i in range(20_000)), "a@b" * 50_000]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", privacy.base_spans(F.col("text")).alias("s")).orderBy("doc_id")
