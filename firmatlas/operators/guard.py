@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,21 @@ def retain(rows: DataFrame, at: str, now: Column, days: float) -> DataFrame:
     return rows.where(F.col(at) >= now - F.expr(f"make_dt_interval(0, 0, 0, {days * 86400})"))
 
 
+@dataclass(frozen=True)
+class Retention:
+    """How long rows may be kept: their time column, the time it is, and a number of days."""
+
+    at: str
+    now: datetime
+    days: float
+
+
+def protect(rows: DataFrame, objections: DataFrame, retention: Retention | None = None, **keys: str) -> DataFrame:
+    """What every sink applies: no row of people who object, and none past its retention."""
+    kept = suppress(rows, objections, **keys)
+    return kept if retention is None else retain(kept, retention.at, F.lit(retention.now), retention.days)
+
+
 def mask_phone(c: Column) -> Column:
     """Country and area stay readable, the rest is hidden."""
     head = F.regexp_extract(c, r"^(\+?\d{5})", 1)

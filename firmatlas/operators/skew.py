@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from firmatlas.session import write_stage
+
 
 def kth_row(df: DataFrame, keys: Sequence[str], levels: Sequence[str], rank: Column) -> DataFrame:
     """The row at position ``rank`` (from 1) per key in the order of ``levels``.
@@ -20,7 +22,8 @@ def kth_row(df: DataFrame, keys: Sequence[str], levels: Sequence[str], rank: Col
     partial sums; each level then looks only at its own distinct values inside the value chosen
     before, so no task ever sorts a whole group. The last level must make rows unique.
     """
-    base = df.groupBy(*keys, *levels).agg(F.count("*").alias("_c"))
+    # read once for each level
+    base = write_stage(df.groupBy(*keys, *levels).agg(F.count("*").alias("_c")), "rank-levels")
     todo = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, rank.cast("long").alias("_k"))
     fixed: list[str] = []
     for level in levels:

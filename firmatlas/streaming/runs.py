@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firmatlas.operators.guard import suppress
+from firmatlas.operators.guard import Retention, protect
 from firmatlas.operators.resolve import unseen
 
 Process = Callable[[DataFrame], DataFrame]
@@ -31,20 +31,21 @@ def batch_writer(
     domain: str = "domain",
     export: Callable[[DataFrame], None] | None = None,
     export_every: int = 10,
+    retention: Retention | None = None,
     **keys: str,
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: drop what earlier batches have, process the rest, write one folder per batch.
 
     A repeated batch sees only the results of earlier batches and overwrites its own folder, so a crash between
     writing and committing changes nothing. Every tenth batch hands the whole table to ``export``. Rows on the
-    objection list are not written; ``keys`` names further columns to check, the domain always is.
+    objection list and rows past ``retention`` are not written; ``keys`` names further columns to check, the domain always is.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = read_results(spark, out, schema).where(F.col("batch_id") < batch_id)
         fresh = unseen(batch, before.select(id_col, domain), id_col, domain)
-        suppress(process(fresh), objections, **{"domain": domain, **keys}).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        protect(process(fresh), objections, retention, **{"domain": domain, **keys}).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
         if export is not None and (batch_id + 1) % export_every == 0:
             export(read_results(spark, out, schema))
 

@@ -279,3 +279,49 @@ def test_entry_without_corpus_operators(tmp_path, gone):
     assert out.returncode == 0, out.stderr
     n, corpus, fits = out.stdout.split()
     assert int(n) > 80 and corpus == "0" and fits == "True"
+
+
+# pages that two companies share, ids of any size, retention in every sink
+
+
+def test_a_page_of_two_companies(spark):
+    from firmatlas.operators import legal as L
+    from firmatlas.operators import people as PE
+    from firmatlas.operators import phones as PH
+
+    links = "array<struct<href:string,text:string,kind:string,attrs:map<string,string>>>"
+    lines = ["Impressum", "Inhaberin: Ida Lenz", "HRB 77", "Ida Lenz", "Prokura", "Tel. 0221 5550777"]
+    mail = [("mailto:ida.lenz@haus.example", "Mail", "mailto", {}), ("tel:+492215550777", "Ida Lenz", "tel", {})]
+    rows = [(c, 5, 5, "https://haus.example/team", "team", lines, "\n".join(lines), mail) for c in ("a", "b")]
+    docs = spark.createDataFrame(rows, f"company_id string, page_id long, page_ord long, url string, kind string, lines array<string>, text string, links {links}")
+    people = PE.assign_emails(PE.page_people(PE.page_mentions(docs)), docs)
+    assert sorted((r.company_id, r.name, r.email) for r in people.collect()) == [(c, "Ida Lenz", "ida.lenz@haus.example") for c in ("a", "b")]
+    text = PH.text_numbers(PH.nearest_person(PH.number_lines(docs)))
+    both = text.drop("person_line").unionByName(PH.link_numbers(docs, text))
+    assert sorted((r.company_id, r.e164, r.person) for r in PH.dedupe_page_numbers(both).collect()) == [(c, "+492215550777", "Ida Lenz") for c in ("a", "b")]
+    pages = L.legal_pages(docs)
+    facts = L.legal_facts(pages, L.legal_people(pages))
+    assert sorted((r.company_id, r.register, r.legal_form, r.legal_name) for r in facts.collect()) == [(c, "HRB 77", "Einzelunternehmen", "Ida Lenz") for c in ("a", "b")]
+
+
+def test_page_order_of_hashed_ids(spark):
+    from firmatlas.sources.readers import prepare_pages
+
+    big = 2**62
+    rows = [("c", big + 900, "https://h.de/sonst"), ("c", big + 1, "https://h.de/sonst2"), ("c", big + 5000, "https://h.de/impressum"), ("c", 2**63 - 1, "https://h.de/"), ("c", 3, "https://h.de/kontakt")]
+    pages = spark.createDataFrame([(*r, "<p>x</p>") for r in rows], "company_id string, page_id long, url string, html string")
+    for n in (1, 4):
+        got = prepare_pages(pages.repartition(n)).orderBy("page_ord", "page_id")
+        assert [r.url.rsplit("/", 1)[1] for r in got.collect()] == ["", "impressum", "kontakt", "sonst2", "sonst"]
+
+
+def test_sinks_drop_what_is_too_old(spark, tmp_path):
+    from firmatlas.operators.guard import Retention
+    from firmatlas.sinks.writers import write_json, write_parquet
+
+    now = datetime(2024, 6, 30)
+    rows = spark.createDataFrame([(i, now - timedelta(days=i), f"h{i}.de") for i in range(40)], "i int, at timestamp, site string")
+    objections = spark.createDataFrame([("domain", "www.h3.de")], "kind string, key string")
+    for write, read in ((write_json, spark.read.schema("i int").json), (write_parquet, spark.read.parquet)):
+        write(rows, str(tmp_path / write.__name__), objections, retention=Retention("at", now, 10), domain="site")
+        assert sorted(r.i for r in read(str(tmp_path / write.__name__)).collect()) == [i for i in range(11) if i != 3]
