@@ -33,8 +33,8 @@ PIECES_KEPT, PAIRS_KEPT, PIECE_BYTES = 250_000, 250_000, 64
 class Codec:
     """One vocabulary with its pattern. ``ranks`` maps token bytes to ids; the id is the merge order."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces_kept: int = PIECES_KEPT) -> None:
+        self.ranks, self.pieces_kept = ranks, pieces_kept
         self.pieces = regex.compile(pattern).findall
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         self.size = [0] * len(self.token)
@@ -160,7 +160,7 @@ class Codec:
                 if ids is None:
                     piece = pieces[i]
                     found[i] = ids = known.get(piece) or self.encode_piece(piece.encode())
-                    if len(piece) <= PIECE_BYTES and len(known) < PIECES_KEPT:
+                    if len(piece) <= PIECE_BYTES and len(known) < self.pieces_kept:
                         known[piece] = ids
         return list(chain.from_iterable(found))
 
@@ -173,9 +173,9 @@ def ranks_in(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, pieces_kept: int = PIECES_KEPT) -> Codec:
     """One codec per worker process and vocabulary file."""
-    return Codec(ranks_in(path), pattern)
+    return Codec(ranks_in(path), pattern, pieces_kept)
 
 
 @functools.lru_cache(maxsize=2)
@@ -209,12 +209,16 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return shipped(docs).mapInArrow(run, _with(docs, out, T.BinaryType()))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the token ids of each text and the bytes that they stand for, in one pass: half the Python workers."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", pieces_kept: int = 50_000) -> DataFrame:
+    """``docs`` with the token ids of each text and the bytes that they stand for, in one pass: half the Python workers.
+
+    It runs after other operators, whose memory in the same workers goes back first, and remembers fewer pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(path, pattern)
-        for batch in rows_in_slices(batches, text):
+        pa.default_memory_pool().release_unused()
+        made = codec(path, pattern, pieces_kept)
+        for batch in rows_in_slices(batches, text, 1 << 20):
             rows = [made.encode(t) if t else [] for t in batch.column(text).to_pylist()]
             batch = with_column(batch, ids, pa.array(rows, type=pa.list_(pa.int32())))
             yield with_column(batch, decoded, pa.array([b"".join(map(made.token.__getitem__, r)) for r in rows], type=pa.binary()))
