@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmatlas.operators.skew import join_counted
+from firmatlas.session import write_stage
+
 PIECE = 3
 
 
@@ -42,9 +45,9 @@ def name_hits(rows: DataFrame, rules: DataFrame, key: str, name: str) -> DataFra
     names = rows.select(key, F.lower(name).alias("low")).where("low <> ''")
     if not sizes:
         return names.select(key, F.lit(0).alias("rule_ord"), F.lit("").alias("pattern")).where("false")
-    entries = rule_entries(low, names, sizes)
+    entries = write_stage(rule_entries(low, names, sizes), "rule-entries")
     every = F.explode(F.flatten(F.array(*[pieces(F.col("low"), n) for n in sizes]))).alias("piece")
-    near = names.select(key, "low", every).join(entries, "piece").where(F.contains("low", "pattern"))
+    near = join_counted(names.select(key, "low", every), entries, "piece").where(F.contains("low", "pattern"))
     return near.groupBy(key).agg(F.min(F.struct("rule_ord", "pattern")).alias("r")).select(key, "r.rule_ord", "r.pattern")
 
 

@@ -18,6 +18,7 @@ from firmatlas.operators import frontier as FR
 from firmatlas.operators import prefixes as PX
 from firmatlas.operators.contacts import emails_in_text
 from firmatlas.operators.resolve import clusters, unseen
+from firmatlas.operators.skew import join_counted
 from firmatlas.plans import collect as CL
 from firmatlas.plans.catalog.lifecycle import ROCKS, STORE
 from firmatlas.sinks.meta import observed, observed_meta
@@ -139,6 +140,20 @@ def test_rules_of_any_length(spark):
 # longest match
 
 
+@pytest.mark.parametrize("most", [20_000, 10])
+def test_names_are_never_sent_through_the_driver(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(EX, "join_counted", lambda rows, small, on: join_counted(rows, small, on, most))
+    spark.range(4000).select("id", F.concat(F.lit("Haus "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name")).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    numbers = F.lpad((F.col("id") * 7).cast("string"), 6, "0")
+    rules = spark.range(3000).select(F.concat(F.lit("HAUS "), numbers).alias("pattern"), F.col("id").alias("rule_ord"))
+    hits = EX.name_hits(names, rules, "id", "name")
+    got = {r.id: r.rule_ord for r in hits.collect()}
+    assert got == {7 * i: i for i in range(3000) if 7 * i < 4000}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("SortMergeJoin [piece" in plan) == (most == 10)
+
+
 def test_suffix_list(spark):
     lines = ["// a list", "", "com", "co.uk", "uk", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "jp"]
     hosts = ["a.b.com", "com", "x.co.uk", "www.x.co.uk", "co.uk", "a.b.c.ck", "b.ck", "ck", "www.ck", "x.www.ck", "city.kawasaki.jp", "a.b.kawasaki.jp", "b.kawasaki.jp", "kawasaki.jp", "host", "a.unknown", "", None]
