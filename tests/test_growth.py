@@ -23,7 +23,7 @@ from firmatlas.plans import collect as CL
 from firmatlas.plans.catalog.lifecycle import ROCKS, STORE
 from firmatlas.sinks.meta import observed, observed_meta
 from firmatlas.sinks.tables import lead_counts, run_meta
-from firmatlas.sources.readers import PLACES_SCHEMA
+from firmatlas.sources.readers import PLACES_SCHEMA, prepare_pages
 from firmatlas.sources.spec import build_spec
 from firmatlas.streaming.published import Published
 from firmatlas.streaming.ttl import lifetimes
@@ -319,6 +319,14 @@ def test_a_page_of_two_companies(spark):
     assert sorted((r.company_id, r.register, r.legal_form, r.legal_name) for r in facts.collect()) == [(c, "HRB 77", "Einzelunternehmen", "Ida Lenz") for c in ("a", "b")]
 
 
+def test_pages_of_one_file_are_read_by_all_cores(spark, tmp_path):
+    rows = spark.range(400).select(F.lit("c").alias("company_id"), F.col("id").alias("page_id"), F.lit("https://a.de/x").alias("url"), F.lit("<p>Haus</p>").alias("html"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    prepared = prepare_pages(spark.read.parquet(str(tmp_path / "pages")))
+    counts = [r["count"] for r in prepared.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 4 and sum(counts) == 400
+
+
 def test_page_order_of_hashed_ids(spark):
     from firmatlas.sources.readers import prepare_pages
 
