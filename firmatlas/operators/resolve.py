@@ -9,7 +9,7 @@ from firmatlas.functions import phone as P
 from firmatlas.functions import urls
 from firmatlas.functions.text import blank_to_null
 from firmatlas.operators.skew import first_by, top_rows
-from firmatlas.session import cut_lineage
+from firmatlas.session import cut_lineage, write_stage
 
 
 def record_keys(companies: DataFrame, record: str = "ord") -> DataFrame:
@@ -33,11 +33,12 @@ def clusters(pairs: DataFrame) -> DataFrame:
     Records meet at the smallest record of each key, so a key held by a third of all records adds one
     edge per record and never a pair of them. Then alternating star contraction: every node hands its
     larger (then smaller) neighbours to its smallest one, which needs few rounds even for long chains.
-    Each round is checkpointed; only two numbers reach the driver.
+    Each round is checkpointed; only two numbers reach the driver. Joins are by sorting: Spark's estimates leave out how
+    long exploded arrays were, also of checkpoints behind them, and would send millions of rows through the driver.
     """
     hubs = pairs.groupBy("token").agg(F.min("record").alias("hub"))
     edges = (
-        pairs.join(hubs, "token")
+        pairs.hint("merge").join(hubs, "token")
         .where("record <> hub")
         .select(F.col("record").alias("u"), F.col("hub").alias("v"))
         .distinct()
@@ -46,16 +47,16 @@ def clusters(pairs: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.hint("merge").join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.hint("merge").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
             break
         seen = mark
     records = pairs.select("record").distinct()
-    return records.join(edges.withColumnRenamed("u", "record"), "record", "left").select(
+    return records.join(edges.withColumnRenamed("u", "record").hint("merge"), "record", "left").select(
         "record", F.coalesce("v", "record").alias("cluster")
     )
 
@@ -96,9 +97,10 @@ def join_in_order(rows: DataFrame, keys: list[str], value: str, order: str, sepa
 def dedupe_companies(companies: DataFrame) -> DataFrame:
     """Resolved companies in first-seen order, with the domain filled from the website."""
     domain = urls.registrable_domain(F.coalesce(F.col("website"), F.col("domain")))
-    staged = companies.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), domain))
+    # written once: the keys and both halves of the merge read it
+    staged = write_stage(companies.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), domain)), "companies")
     linked = clusters(record_keys(staged)).withColumnRenamed("record", "ord")
-    return merge_records(staged.join(linked, "ord")).drop("cluster")
+    return merge_records(staged.join(linked.hint("merge"), "ord")).drop("cluster")
 
 
 def _settled(records: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:

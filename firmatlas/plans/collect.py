@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from firmatlas.operators.exclusion import exclusion_reasons
 from firmatlas.operators.resolve import dedupe_companies, merge_records
 from firmatlas.operators.skew import top_rows
+from firmatlas.session import spread
 from firmatlas.sources.readers import companies_from_places
 
 PAGE_BITS, HIT_BITS = 12, 12
@@ -25,9 +26,10 @@ def search_hits(answers: DataFrame, most: int = MOST_HITS) -> DataFrame:
     """Company rows of all answers, the first ``most`` usable ones of each search.
 
     ``answers``: task_no, page_no (from 0), query, places (array, as in ``sources.readers.PLACES_SCHEMA``). ``ord`` is
-    made of task, page and position, so it doesn't depend on how Spark splits the input.
+    made of task, page and position, so it doesn't depend on how Spark splits the input. Hits are read by all cores.
     """
-    rows = answers.select("task_no", "page_no", "query", F.posexplode("places").alias("_no", "place"))
+    answers = spread(answers, "task_no", "page_no")
+    rows = answers.select("task_no", "page_no", "query", F.posexplode_outer("places").alias("_no", "place")).where("_no is not null")  # an inner explode would compute the array twice
     order = hit_order(F.col("task_no"), F.col("page_no"), F.col("_no"))
     usable = companies_from_places(rows, F.col("query"), order)
     task = F.shiftright("ord", PAGE_BITS + HIT_BITS)

@@ -74,6 +74,14 @@ def test_long_chain_ends_in_few_jobs(spark):
 # entities
 
 
+def test_clusters_of_exploded_keys_send_no_table(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("record")).coalesce(1).write.parquet(str(tmp_path / "records"))
+    keys = F.array(*[F.concat(F.lit(f"t{i}-"), F.floor((F.col("record") + i) / 3).cast("string")) for i in range(2)])
+    linked = clusters(spark.read.parquet(str(tmp_path / "records")).select("record", F.explode(keys).alias("token")))
+    assert {r.cluster for r in linked.collect()} == {0}
+    assert "BroadcastExchange" not in linked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_two_batches_equal_one_run(spark, tmp_path):
     rng = random.Random(9)
     pairs = sorted({(r, f"t{rng.randrange(90)}") for r in range(120) for _ in range(2)} | {(r, "hot") for r in range(0, 120, 11)})
