@@ -123,6 +123,45 @@ def _settled(records: DataFrame, group: str, order: str, keys: list[str]) -> Dat
     return folded.select(F.explode("taken").alias(order))
 
 
+def _along_chains(left: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """Orders of records that are taken as far as chains tell: records that hang on a single earlier one.
+
+    Such a record is first with one key and second with the other, or second behind the same record with both: it is
+    taken if that one is not. Pointers along these records double their length in every round, so a chain costs the
+    logarithm of its length; it is settled if it begins with a record that is first with both keys.
+    """
+    told = left.select(order, *keys)
+    for k in keys:
+        first = told.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_{k}1"))
+        told = told.hint("merge").join(first, k, "left")
+        second = told.where(F.col(order) > F.col(f"_{k}1")).groupBy(k).agg(F.min(order).alias(f"_{k}2"))
+        told = told.hint("merge").join(second, k, "left")
+    at = F.col(order)
+    free = [F.coalesce(at == F.col(f"_{k}1"), F.lit(True)) for k in keys]
+    behind = [F.when(at == F.col(f"_{k}2"), F.col(f"_{k}1")) for k in keys]
+    up = (
+        F.when(free[0] & free[1], at)
+        .when(free[0], behind[1])
+        .when(free[1], behind[0])
+        .when(behind[0] == behind[1], behind[0])
+    )
+    # a record that hangs on several is where its chain begins, and stays open
+    links = cut_lineage(told.select(at.alias("at"), up.alias("up"), F.lit(True).alias("odd")).where("up is not null"))
+    heads = links.where("at = up").select("at")
+    links = links.where("at <> up")
+    while True:
+        ahead = links.select(F.col("at").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        moved = links.hint("merge").join(ahead, "up", "left").select(
+            "at", F.coalesce("_up", "up").alias("up"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_up").isNotNull().alias("moved")
+        )
+        links = cut_lineage(moved)
+        if links.where("moved").isEmpty():
+            break
+        links = links.drop("moved")
+    even = links.where("not odd").hint("merge").join(heads.withColumnRenamed("at", "up"), "up", "left_semi")
+    return heads.unionByName(even.select("at")).withColumnRenamed("at", order)
+
+
 def unseen(
     batch: DataFrame, seen: DataFrame, id_col: str = "place_id", domain: str = "domain", order: str = "ord", fold: int = 16_384
 ) -> DataFrame:
@@ -133,7 +172,8 @@ def unseen(
 
     What a record is up to depends only on the records that share keys with it, directly or through others. So each
     round first takes all records that come first with both keys and drops what they exclude: two partial aggregates,
-    whatever share of the records one key holds. Of the rest, components of up to ``fold`` records are read each in one
+    whatever share of the records one key holds. Then chains of records that hang on a single earlier one are settled,
+    and while that halves the rest, it goes on so. Of what is left, components of up to ``fold`` records are read each in one
     sorted pass; of a larger one its first ``fold`` records, and then the next round goes on behind them. The number of
     rounds so grows with the size of the largest component divided by ``fold``, not with the length of its chains.
     """
@@ -144,9 +184,10 @@ def unseen(
     left, taken = cut_lineage(left.select(batch.columns)), []
 
     def excluded(rows: DataFrame, now: DataFrame) -> DataFrame:
-        rest = rows.join(now.select(order), order, "left_anti")
+        # by sorting: the estimates of checkpoints may be far too low
+        rest = rows.hint("merge").join(now.select(order), order, "left_anti")
         for k in keys:
-            rest = rest.join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+            rest = rest.hint("merge").join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
         return cut_lineage(rest.select(batch.columns))
 
     while True:
@@ -164,14 +205,23 @@ def unseen(
                 settled = _settled(left.withColumn("_group", F.lit(0)), "_group", order, keys)
                 taken.append(cut_lineage(left.join(settled, order, "left_semi").select(batch.columns)))
             break
+        chained = _along_chains(left, order, keys)
+        now = cut_lineage(left.hint("merge").join(chained, order, "left_semi").select(batch.columns))
+        taken.append(now)
+        left = excluded(left, now)
+        rest = left.count()
+        if not rest:
+            break
+        if 2 * rest <= n:
+            continue
         tokens = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k).cast("string")) for i, k in enumerate(keys)]), lambda t: t.isNotNull())
         linked = clusters(left.select(F.col(order).alias("record"), F.explode(tokens).alias("token")))
-        grouped = cut_lineage(left.select(order, *keys).join(linked.withColumnRenamed("record", order), order))
+        grouped = cut_lineage(left.select(order, *keys).hint("merge").join(linked.withColumnRenamed("record", order), order))
         early = top_rows(grouped, ["cluster"], [F.col(order)], fold, "_place").drop("_place")
-        now = cut_lineage(left.join(_settled(early, "cluster", order, keys), order, "left_semi").select(batch.columns))
+        now = cut_lineage(left.hint("merge").join(_settled(early, "cluster", order, keys), order, "left_semi").select(batch.columns))
         taken.append(now)
         # of a settled component nothing is left; of a larger one what lies behind its first records
-        read = excluded(left.join(early.select(order), order, "left_anti"), now)
+        read = excluded(left.hint("merge").join(early.select(order), order, "left_anti"), now)
         if read.isEmpty():
             break
         left = read

@@ -71,6 +71,22 @@ def test_long_chain_ends_in_few_jobs(spark):
     assert len(tracker.getJobIdsForGroup(group)) < 60  # adaptive plans count each shuffle; a round a link were thousands
 
 
+def test_chains_much_longer_than_a_fold_end_in_few_jobs(spark):
+    rows = [(i, f"i{i // 2}", f"d{(i + 1) // 2}") for i in range(600)]
+    # chains that hang on two records, or on one through both keys
+    rows += [(1000 + i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(40)] + [(1100, "a3", "b9"), (1101, "a19", "b20"), (1102, "x", "b20"), (1103, "x", "b20"), (1104, "x", None)]
+    batch = spark.createDataFrame(rows, "ord long, place_id string, domain string")
+    none = spark.createDataFrame([], "place_id string, domain string")
+    tracker, group = spark.sparkContext.statusTracker(), "fold-chain"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = sorted(r.ord for r in unseen(batch, none, fold=4).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == in_order(rows)
+    assert len(tracker.getJobIdsForGroup(group)) < 400  # a round every four links were thousands
+
+
 # entities
 
 
