@@ -351,6 +351,16 @@ def test_pages_of_one_file_are_read_by_all_cores(spark, tmp_path):
     assert len(counts) == 4 and sum(counts) == 400
 
 
+def test_texts_of_one_file_are_read_by_all_cores(spark, tmp_path):
+    from firmatlas.plans.catalog.web import _texts
+
+    ids = spark.range(400).coalesce(1)
+    ids.select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("Haus").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    ids.select(F.col("id").alias("page_id"), F.lit("https://a.de/").alias("url"), F.lit("<p>Haus</p>").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    counts = [r["count"] for r in _texts(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 8 and sum(counts) == 800
+
+
 def test_page_order_of_hashed_ids(spark):
     from firmatlas.sources.readers import prepare_pages
 
