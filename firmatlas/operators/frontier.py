@@ -141,16 +141,18 @@ def next_round(
         hints = write_stage(hints.unionByName(named).distinct(), "crawl-hints")
     # one short list per site: the surnames of its legal notices
     listed = hints.groupBy(site).agg(F.array_sort(F.collect_list("hint")).alias("names"))
-    rows = write_stage(promote_hints(every, listed, site), "crawl-open")
+    # every target with the priority of its link beside the promoted one, so that it is read off its links once
+    rows = write_stage(promote_hints(every.withColumn("_named", F.col("priority")), listed, site), "crawl-open")
     if extra is None:
         chosen = within_budget(rows, state.asked, budget, site)
     else:
         chosen = plan_more(rows.withColumn("seen_at", at), extra, site)
     chosen = write_stage(chosen.select(site, "page_key", "href", "priority", "hinted", "rank"), "crawl-chosen")
     # promoted priorities are not stored: a later round promotes again with the hints of that time
-    rest = every.join(chosen, [site, "page_key"], "left_anti").select(columns)
+    left = rows.join(chosen, [site, "page_key"], "left_anti")
+    rest = left.withColumn("priority", F.col("_named")).select(columns)  # of two stored tables; the next round reads it once
     now = state.asked.unionByName(chosen.select(site, "page_key", F.lit(round_no).alias("round_no")))
-    return Crawl(write_stage(now, "crawl-asked"), write_stage(rest, "crawl-rest"), hints), chosen
+    return Crawl(write_stage(now, "crawl-asked"), rest, hints), chosen
 
 
 def robots_by_host(rules: DataFrame, agent: str) -> DataFrame:

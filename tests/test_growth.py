@@ -289,6 +289,39 @@ def test_crawl_goes_on_where_it_was(spark):
     assert [r.page_key for r in state.open.collect()] == ["s.de/b"]
 
 
+def test_a_round_reads_its_links_once(spark, tmp_path, monkeypatch):
+    rows = [("s", 0, 0, n, f"https://s.de/{n}", "", "internal", "s.de") for n in range(9)]
+    schema = "company_id string, page_ord long, page_id long, link_no int, href string, text string, kind string, base_domain string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "links"))
+    readers = []
+
+    def noted(df, name, stage=FR.write_stage):
+        readers.extend([name] * any(str(tmp_path / "links") in f for f in df.inputFiles()))
+        return stage(df, name)
+
+    monkeypatch.setattr(FR, "write_stage", noted)
+    state = FR.start_crawl(spark.createDataFrame([("s", "https://www.s.de/")], "company_id string, url string"))
+    state, first = FR.next_round(state, spark.read.parquet(str(tmp_path / "links")), 1, budget=4)
+    assert readers == ["crawl-open"]
+    assert not any(str(tmp_path / "links") in f for f in state.open.inputFiles())
+    assert sorted(r.page_key for r in first.unionByName(state.open, allowMissingColumns=True).collect()) == [f"s.de/{n}" for n in range(9)]
+
+
+def test_legal_people_of_pages_taken_up_bit_by_bit(spark):
+    from firmatlas.operators import legal as L
+    from firmatlas.session import write_stage
+
+    lines = lambda name: ["Impressum", f"Geschäftsführer: {name}", "HRB 77"]
+    rows = [("a", 1, "impressum", lines("Ida Lenz")), ("a", 2, "sonstige", lines("Uwe Berg")), ("a", 3, "impressum", lines("Max Vogt")), ("a", 4, "impressum", lines("Eva Kranz")), ("b", 5, "sonstige", lines("Tina Oberg")), ("b", 6, "team", ["Team"])]
+    docs = spark.createDataFrame([(c, i, i, f"https://{c}.de/{i}", k, t) for c, i, k, t in rows], "company_id string, page_id long, page_ord long, url string, kind string, lines array<string>")
+    stored = write_stage(L.legal_mentions(docs), "mentions")
+    for upto in ([2, 6], [2, 4, 5], [1, 2, 3, 4, 5, 6]):
+        part = F.col("page_id").isin(*upto)
+        got, want = L.mentioned_people(stored.where(part)), L.legal_people(L.legal_pages(docs.where(part)))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) != []
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000 < len(want._jdf.queryExecution().optimizedPlan().toString())
+
+
 # hostile addresses
 
 
