@@ -221,6 +221,32 @@ def test_lifetimes_over_restarts(spark, tmp_path):
     ])
 
 
+def test_lifetimes_of_many_keys_in_few_states(spark, tmp_path):
+    rng, t0, hour = random.Random(5), datetime(2024, 5, 1), timedelta(hours=1)
+    keys = [(rng.choice([None, 0, 2**53 + 1, 2**53 + 2, *range(40)]), rng.choice([None, "", "x", "y"])) for _ in range(60)]
+    rows = [(*rng.choice(keys), t0 + hour * i + timedelta(microseconds=rng.randrange(3))) for i in range(600)]
+    schema, before = "_n long, k string, t timestamp", spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        for part in (rows[:250], rows[250:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            out = lifetimes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["_n", "k"], "t", 30 * hour, buckets=4)
+            run = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            run.awaitTermination()
+            # a state for each bucket, not for each key, whatever rows its timer takes
+            assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 3
+    finally:
+        spark.conf.set(STORE, before)
+    want, held, end = [], {}, max(t for *_, t in rows)
+    for n, k, t in sorted(rows, key=lambda r: r[2]):
+        last = held.get((n, k))
+        if last is None or t > last + 30 * hour:
+            want += [(n, k, t, "taken")] + [(n, k, last, "purged")] * (last is not None)
+            held[n, k] = t
+    want += [(n, k, t, "purged") for (n, k), t in held.items() if t + 30 * hour + timedelta(milliseconds=2) < end]
+    assert sorted(map(repr, map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))) == sorted(map(repr, want))
+
+
 # erasure
 
 
