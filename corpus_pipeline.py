@@ -22,7 +22,7 @@ SENT_ROWS = 1_000_000  # ids sent to all executors at most
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; the grammar learns from the labels of its training side."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
-    scored = toxicity.score(docs, toxicity.learn(docs, labels), out="_toxicity", clauses="_clauses")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), out="_toxicity", clauses=None)
     return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 

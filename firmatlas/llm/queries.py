@@ -58,7 +58,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
-    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), clauses=None, drop=("text",))
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"))
 
 

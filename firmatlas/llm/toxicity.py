@@ -183,19 +183,26 @@ CLAUSES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.S
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("weight", pa.float64())]))
 
 
-def score(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "toxicity", clauses: str = "toxic_clauses") -> DataFrame:
-    """``docs`` with the score of each whole text and its matched clauses."""
+def score(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "toxicity", clauses: str | None = "toxic_clauses", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the score of each whole text and its matched clauses (None: without them).
+
+    Spark prunes no columns behind the Python workers: what nobody reads is named in ``drop`` and stays there.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in (out, clauses, *drop)]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = grammar.reader()
         for batch in rows_in_slices(batches, text):
             found = [reader.clauses(t) if t else [] for t in batch.column(text).to_pylist()]
-            scores = pa.array([reader.score(c) for c in found], type=pa.float64())
-            listed = pa.array([[dict(zip(("start", "end", "kind", "weight"), c, strict=True)) for c in cs] for cs in found], type=_ARROW)
-            yield with_column(with_column(batch, out, scores), clauses, listed)
+            done = with_column(batch.select(names), out, pa.array([reader.score(c) for c in found], type=pa.float64()))
+            if clauses is not None:
+                listed = pa.array([[dict(zip(("start", "end", "kind", "weight"), c, strict=True)) for c in cs] for cs in found], type=_ARROW)
+                done = with_column(done, clauses, listed)
+            yield done
 
-    kept = [f for f in docs.schema.fields if f.name not in (out, clauses)]
-    return shipped(docs).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField(clauses, CLAUSES)]))
+    more = [T.StructField(out, T.DoubleType())] + ([T.StructField(clauses, CLAUSES)] if clauses is not None else [])
+    return shipped(docs).mapInArrow(run, T.StructType([*kept, *more]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Grammar:
@@ -223,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     shortest = {s: w for s, w in learned.items() if not any(s[:k] in learned for k in STEM_LENGTHS if k < len(s))}
     seeds = {s: w for s, w in grammar.stems.items() if not any(s.startswith(x) for x in shortest)}
     grammar = replace(grammar, stems=seeds | shortest)
-    matched = score(rows, grammar, "t", "s", "c")
+    matched = score(rows, grammar, "t", "s", "c", drop=("h", "t"))
     kinds = F.array_distinct(F.transform("c", lambda c: c["kind"]))
     matched = matched.persist()
     seen = matched.select("y", F.explode(F.when(F.size("c") > 0, kinds).otherwise(F.array(F.lit("")))).alias("kind"))

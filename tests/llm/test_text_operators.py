@@ -217,6 +217,17 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.score(none, grammar).count() == 0
 
 
+def test_toxicity_sends_back_only_what_is_read(spark, odd):
+    """Spark prunes nothing behind Python workers: texts and clauses came back to the JVM and were dropped there."""
+    back = lambda df: next(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x).split(", [")[-1]
+    query = back(QUERIES["op5_toxicity"](spark, SF))
+    assert "toxicity#" in query and "text#" not in query and "clauses#" not in query
+    whole = toxicity.score(odd, toxicity.Grammar())
+    short = toxicity.score(odd, toxicity.Grammar(), clauses=None, drop=("text", "lang"))
+    assert short.columns == [c for c in whole.columns if c not in ("text", "lang", "toxic_clauses")]
+    assert sorted(map(str, short.collect())) == sorted(map(str, whole.select(short.columns).collect()))
+
+
 # --- personal data
 
 RULES = {
