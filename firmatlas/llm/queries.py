@@ -100,7 +100,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", whole().alias("text"))
-    done = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path)
+    done = bpe.round_trip(docs, path, pattern, pieces_kept=bpe.PIECES_KEPT, drop=("text",))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -78,6 +78,37 @@ def test_bpe_round_trip_in_one_pass(spark, odd):
     assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+def test_bpe_many_texts_equal_the_library():
+    made, want = reference_codec()
+    rng = random.Random(8)
+    tokens = [t.decode("utf-8", "ignore") for t in rng.sample(made.token, 2_000)]
+    texts = [None, "", "y" * 5_000] + ["".join(rng.choice(tokens) for _ in range(rng.randint(0, 40))) for _ in range(2_000)]
+    borders, ids = made.encode_all(texts)
+    for i, text in enumerate(texts):
+        assert ids[borders[i] : borders[i + 1]].tolist() == want.encode_ordinary(text or "")
+    for piece in (" unverlässlichkeitsprüfung", "zzzzqqqq", "日本語テキスト", "a" * 60):
+        assert made.encode_side_by_side([piece, "x", piece])[::2] == [made.encode_piece(piece.encode())] * 2
+    with pytest.raises(ValueError):
+        bpe.Codec({b"a": 0, b"aa": 1}, public_tokenizers.PATTERN).encode("aab")
+
+
+def test_bpe_bytes_of_lists():
+    tokens = bpe.pa.array([b"a", b"bc", None, b"\xff"], type=bpe.pa.binary())
+    lists = bpe.pa.array([[1, 0], None, [], [3], [0, 0, 1]], type=bpe.pa.list_(bpe.pa.int32()))
+    assert bpe.bytes_of(lists, tokens).to_pylist() == [b"bca", b"", b"", b"\xff", b"aabc"]
+    assert bpe.bytes_of(lists.slice(3), tokens).to_pylist() == [b"\xff", b"aabc"]
+    assert bpe.bytes_of(lists.slice(1, 2), tokens).to_pylist() == [b"", b""]
+    for wrong in ([2], [None]):
+        with pytest.raises(KeyError):
+            bpe.bytes_of(bpe.pa.array([wrong], type=bpe.pa.list_(bpe.pa.int32())), tokens)
+
+
+def test_bpe_query_is_one_pass_without_texts_back(spark):
+    plan = QUERIES["op10_byte_bpe"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    (passed,) = [x for x in plan.split("\n") if "MapInArrow" in x]
+    assert "ids#" in passed.split(", [")[-1] and "text#" not in passed.split(", [")[-1]
+
+
 def test_bpe_query_digests(spark):
     _, want = reference_codec()
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
