@@ -344,6 +344,32 @@ def test_quality_of_a_small_language(spark, monkeypatch, sent):
     assert len(got) == len(rows) and got[5_000] and got[5_001] and not got[5_002] and got[0]
 
 
+def test_quality_counts_classes_in_what_is_left(spark):
+    rng = random.Random(11)
+    parts = ["abc", "Q", "7", "-", "'", "#", "&|", " ", "\n", "\t\x0b", "\x1f", "\x85", "é", "日", "𝒳", "_"]
+    texts = {10_000 + i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for i in range(60)}
+    docs = documents(spark).where("text is not null").select("doc_id", "text", "lang")
+    told = quality.measured(docs.union(spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")))
+    texts |= {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in told.collect():
+        t = texts[r["doc_id"]]
+        named = [sum(map(len, re.findall(pattern, t))) for pattern in quality.CLASSES]
+        n_bytes = len(t.encode())
+        assert r["classes"] == [*named, len(re.findall(r"[\x20\x09-\x0D]", t)), n_bytes - len(t), n_bytes]
+    # one pattern reads the whole text
+    assert quality.measured(docs)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text#") == 1
+
+
+@pytest.mark.parametrize("common", [[], ["the", "a,b", "é"], [f"w{k}" for k in range(quality.COMMON)]])
+def test_quality_counts_common_words_by_their_hashes(spark, common):
+    rng = random.Random(12)
+    texts = [[rng.choice(["the", "the,", "a,b", "é", "e", *(f"w{k}" for k in range(30))]) for _ in range(n)] for n in (0, 1, 7, 400)]
+    rows = spark.createDataFrame([(i, words, common) for i, words in enumerate(texts)], "i int, words array<string>, common array<string>")
+    hashed = rows.select("i", *[F.transform(c, lambda w: F.xxhash64(w)).alias(c) for c in ("words", "common")])
+    got = {r["i"]: r["counts"] for r in hashed.select("i", quality.word_counts(F.col("words"), F.col("common")).alias("counts")).collect()}
+    assert got == {i: [*[words.count(c) for c in common], len(words)] for i, words in enumerate(texts)}
+
+
 # --- secrets
 
 
