@@ -141,11 +141,12 @@ def references(rows: DataFrame, common: DataFrame) -> DataFrame:
 def word_counts(codes: Column, common: Column) -> Column:
     """Counts of the common words, and of all words in the last place; both sides are hashes.
 
-    One expression per place: array_remove is compiled then, which it is not inside a lambda.
+    One expression per place and no lambda around them: then Spark compiles them, each into a method of its own where
+    the projection also holds a lambda, as that of ``judge`` does.
     """
-    each = F.array(*[F.size(codes) - F.size(F.array_remove(codes, F.get(common, F.lit(k)))) for k in range(COMMON)])
+    each = F.array(*[(F.size(codes) - F.size(F.array_remove(codes, F.get(common, F.lit(k))))).cast("long") for k in range(COMMON)])
     # places beyond the common words are null
-    return F.transform(F.concat(F.slice(each, F.lit(1), F.size(common)), F.array(F.size(codes))), lambda n: n.cast("long"))
+    return F.concat(F.slice(each, F.lit(1), F.size(common)), F.array(F.size(codes).cast("long")))
 
 
 def _sent(refs: DataFrame) -> DataFrame:
