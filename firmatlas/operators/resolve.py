@@ -9,7 +9,10 @@ from firmatlas.functions import phone as P
 from firmatlas.functions import urls
 from firmatlas.functions.text import blank_to_null
 from firmatlas.operators.skew import first_by, top_rows
-from firmatlas.session import cut_lineage, write_stage
+from firmatlas.session import drop_stage, write_stage
+
+RULERS = 4  # one of so many records of a chain stays in the next, shorter list
+SHORT = 100_000  # links that are followed without shorter lists
 
 
 def record_keys(companies: DataFrame, record: str = "ord") -> DataFrame:
@@ -33,8 +36,9 @@ def clusters(pairs: DataFrame) -> DataFrame:
     Records meet at the smallest record of each key, so a key held by a third of all records adds one
     edge per record and never a pair of them. Then alternating star contraction: every node hands its
     larger (then smaller) neighbours to its smallest one, which needs few rounds even for long chains.
-    Each round is checkpointed; only two numbers reach the driver. Joins are by sorting: Spark's estimates leave out how
-    long exploded arrays were, also of checkpoints behind them, and would send millions of rows through the driver.
+    Each round is a stage, written over that of the round before; only two numbers reach the driver. (A checkpoint keeps
+    Spark's estimate of its plan, which joins multiply: over rounds a number of megabytes.) Joins are by sorting: the
+    estimates leave out how long exploded arrays were, and would send millions of rows through the driver.
     """
     hubs = pairs.groupBy("token").agg(F.min("record").alias("hub"))
     edges = (
@@ -43,14 +47,15 @@ def clusters(pairs: DataFrame) -> DataFrame:
         .select(F.col("record").alias("u"), F.col("hub").alias("v"))
         .distinct()
     )
-    edges, seen = cut_lineage(edges), None
+    edges, seen = write_stage(edges, "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.hint("merge").join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.hint("merge").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
+        edges, last = write_stage(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), "edges"), edges
+        drop_stage(last)
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
             break
@@ -128,7 +133,8 @@ def _along_chains(left: DataFrame, order: str, keys: list[str]) -> DataFrame:
 
     Such a record is first with one key and second with the other, or second behind the same record with both: it is
     taken if that one is not. Pointers along these records double their length in every round, so a chain costs the
-    logarithm of its length; it is settled if it begins with a record that is first with both keys.
+    logarithm of its length; long lists are shortened to some of their records first. A chain is settled if it begins with
+    a record that is first with both keys.
     """
     told = left.select(order, *keys)
     for k in keys:
@@ -146,20 +152,60 @@ def _along_chains(left: DataFrame, order: str, keys: list[str]) -> DataFrame:
         .when(behind[0] == behind[1], behind[0])
     )
     # a record that hangs on several is where its chain begins, and stays open
-    links = cut_lineage(told.select(at.alias("at"), up.alias("up"), F.lit(True).alias("odd")).where("up is not null"))
-    heads = links.where("at = up").select("at")
-    links = links.where("at <> up")
+    found = write_stage(told.select(at.alias("at"), up.alias("up"), F.lit(True).alias("odd")).where("up is not null").distinct(), "links")
+    heads = found.where("at = up").select("at")
+    links, below = found.where("at <> up"), []
+    while links.count() > SHORT:
+        part = _to_rulers(links, len(below))
+        links = part.where("ruler").select("at", "up", "odd")
+        below.append(part.where("not ruler").select("at", "up", "odd"))
+    links = _to_ends(links)
+    known = links.hint("merge").join(heads.withColumnRenamed("at", "up"), "up", "left_semi").select("at", (~F.col("odd")).alias("taken"))
+    known = heads.select("at", F.lit(True).alias("taken")).unionByName(write_stage(known, "settled"))
+    for part in reversed(below):
+        ahead = known.select(F.col("at").alias("up"), "taken")
+        told = part.hint("merge").join(ahead, "up").select("at", (F.col("odd") != F.col("taken")).alias("taken"))
+        known = known.unionByName(write_stage(told, "settled"))
+    return known.where("taken").select(F.col("at").alias(order))
+
+
+def _to_ends(links: DataFrame) -> DataFrame:
+    """at, up, odd with ``up`` at the beginning of the chain: pointers double their length in every round."""
+    last = None
     while True:
         ahead = links.select(F.col("at").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
         moved = links.hint("merge").join(ahead, "up", "left").select(
             "at", F.coalesce("_up", "up").alias("up"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_up").isNotNull().alias("moved")
         )
-        links = cut_lineage(moved)
-        if links.where("moved").isEmpty():
-            break
-        links = links.drop("moved")
-    even = links.where("not odd").hint("merge").join(heads.withColumnRenamed("at", "up"), "up", "left_semi")
-    return heads.unionByName(even.select("at")).withColumnRenamed("at", order)
+        moved = write_stage(moved, "links")
+        if last is not None:
+            drop_stage(last)
+        last, links = moved, moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return links
+
+
+def _to_rulers(links: DataFrame, level: int) -> DataFrame:
+    """at, up, odd, ruler: pointers to the next ruler ahead, or to the beginning of the chain if none comes before.
+
+    One record of ``RULERS`` is a ruler, by a hash. Pointers double their length until they meet one, so a few rounds
+    with ever fewer rows are enough; the rulers alone are the next list, and all lists together cost a few times the first.
+    """
+    named = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(RULERS)) == 0
+    rows = links.select("at", "up", "odd", named("at").alias("ruler"), named("up").alias("done"))
+    last = None
+    while True:
+        ahead = rows.where("not ruler").select(F.col("at").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"), F.col("done").alias("_done"))
+        # who finds nobody ahead is at the beginning
+        moved = rows.where("not done").hint("merge").join(ahead, "up", "left").select(
+            "at", F.coalesce("_up", "up").alias("up"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), "ruler", F.coalesce("_done", F.lit(True)).alias("done")
+        )
+        rows = write_stage(rows.where("done").unionByName(moved), "rulers")
+        if last is not None:
+            drop_stage(last)
+        last = rows
+        if rows.where("not done").isEmpty():
+            return rows.drop("done")
 
 
 def unseen(
@@ -177,38 +223,45 @@ def unseen(
     sorted pass; of a larger one its first ``fold`` records, and then the next round goes on behind them. The number of
     rounds so grows with the size of the largest component divided by ``fold``, not with the length of its chains.
     """
-    keys = [id_col, domain]
+    keys, untyped = [id_col, domain], [c for c, kind in batch.dtypes if kind == "void"]
+    names = [c for c in batch.columns if c not in untyped]  # stages have no columns without a type
     left = batch
     for k in keys:
         left = left.join(seen.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-    left, taken = cut_lineage(left.select(batch.columns)), []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return write_stage(rows.select(names), "unseen")
+
+    left, taken = kept(left), []
 
     def excluded(rows: DataFrame, now: DataFrame) -> DataFrame:
-        # by sorting: the estimates of checkpoints may be far too low
+        # by sorting: the files of a stage may be far smaller than its rows
         rest = rows.hint("merge").join(now.select(order), order, "left_anti")
         for k in keys:
             rest = rest.hint("merge").join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-        return cut_lineage(rest.select(batch.columns))
+        return kept(rest)
 
     while True:
-        told = left
+        told = left.hint("merge")
         for k in keys:
             first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_{k}"))
-            told = told.join(first, k, "left")
+            told = told.join(first.hint("merge"), k, "left")
         ahead = [F.coalesce(F.col(order) == F.col(f"_{k}"), F.lit(True)) for k in keys]
-        now = cut_lineage(told.where(ahead[0] & ahead[1]).select(batch.columns))
+        now = kept(told.where(ahead[0] & ahead[1]))
         taken.append(now)
-        left = excluded(left, now)
+        left, last = excluded(left, now), left
+        drop_stage(last)
         n = left.count()
         if n <= fold:  # one pass settles all, whatever hangs together
             if n:
                 settled = _settled(left.withColumn("_group", F.lit(0)), "_group", order, keys)
-                taken.append(cut_lineage(left.join(settled, order, "left_semi").select(batch.columns)))
+                taken.append(kept(left.join(settled, order, "left_semi")))
             break
         chained = _along_chains(left, order, keys)
-        now = cut_lineage(left.hint("merge").join(chained, order, "left_semi").select(batch.columns))
+        now = kept(left.hint("merge").join(chained, order, "left_semi"))
         taken.append(now)
-        left = excluded(left, now)
+        left, last = excluded(left, now), left
+        drop_stage(last)
         rest = left.count()
         if not rest:
             break
@@ -216,9 +269,9 @@ def unseen(
             continue
         tokens = F.filter(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k).cast("string")) for i, k in enumerate(keys)]), lambda t: t.isNotNull())
         linked = clusters(left.select(F.col(order).alias("record"), F.explode(tokens).alias("token")))
-        grouped = cut_lineage(left.select(order, *keys).hint("merge").join(linked.withColumnRenamed("record", order), order))
+        grouped = write_stage(left.select(order, *keys).hint("merge").join(linked.withColumnRenamed("record", order), order), "unseen-groups")
         early = top_rows(grouped, ["cluster"], [F.col(order)], fold, "_place").drop("_place")
-        now = cut_lineage(left.hint("merge").join(_settled(early, "cluster", order, keys), order, "left_semi").select(batch.columns))
+        now = kept(left.hint("merge").join(_settled(early, "cluster", order, keys), order, "left_semi"))
         taken.append(now)
         # of a settled component nothing is left; of a larger one what lies behind its first records
         read = excluded(left.hint("merge").join(early.select(order), order, "left_anti"), now)
@@ -228,7 +281,7 @@ def unseen(
     out = taken[0]
     for part in taken[1:]:
         out = out.unionByName(part)
-    return out
+    return out.select(*[F.lit(None).alias(c) if c in untyped else F.col(c) for c in batch.columns])
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -16,6 +16,7 @@ from firmatlas.operators import erase as ER
 from firmatlas.operators import exclusion as EX
 from firmatlas.operators import frontier as FR
 from firmatlas.operators import prefixes as PX
+from firmatlas.operators import resolve as RS
 from firmatlas.operators.contacts import emails_in_text
 from firmatlas.operators.resolve import clusters, unseen
 from firmatlas.operators.skew import join_counted
@@ -87,6 +88,30 @@ def test_chains_much_longer_than_a_fold_end_in_few_jobs(spark):
     assert len(tracker.getJobIdsForGroup(group)) < 400  # a round every four links were thousands
 
 
+def estimate_bits(df):
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+
+def test_estimates_do_not_grow_with_the_rounds_of_a_chain(spark):
+    # joins multiply estimates: kept from round to round, the number fills the driver's memory
+    rows = spark.createDataFrame([(i, f"i{i // 2}", f"d{(i + 1) // 2}") for i in range(200)], "ord long, place_id string, domain string")
+    assert estimate_bits(RS._along_chains(rows, "ord", ["place_id", "domain"])) < 600
+    pairs = spark.createDataFrame([(i, f"{c}{(i + k) // 2}") for i in range(60) for k, c in enumerate("cd")], "record long, token string")
+    assert estimate_bits(RS.clusters(pairs)) < 600
+
+
+def test_chains_are_settled_through_shorter_lists(spark, monkeypatch):
+    monkeypatch.setattr(RS, "SHORT", 5)
+    rng = random.Random(7)
+    rows = [(3 * i, f"i{i // 2}", f"d{(i + 1) // 2}") for i in range(60)]
+    rows += [(1000 + i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(41)] + [(1100, "a3", "b9"), (1101, "a19", "b20"), (1102, "x", "b20"), (1103, "x", "b20"), (1104, "x", None)]
+    rows += [(2000 + i, rng.choice([None, f"p{rng.randrange(40)}"]), rng.choice([None, f"q{rng.randrange(40)}"])) for i in range(40)]
+    rng.shuffle(rows)
+    batch = spark.createDataFrame(rows, "ord long, place_id string, domain string").withColumn("note", F.lit(None))
+    got = unseen(batch, spark.createDataFrame([], "place_id string, domain string"), fold=4)
+    assert got.columns == batch.columns and sorted(r.ord for r in got.collect()) == in_order(rows)
+
+
 # entities
 
 
