@@ -15,18 +15,16 @@ RULERS = 4  # one of so many records of a chain stays in the next, shorter list
 SHORT = 100_000  # links that are followed without shorter lists
 
 
-def record_keys(companies: DataFrame, record: str = "ord") -> DataFrame:
-    """record, token: one row per matching key of a company record."""
+def _keys() -> list[Column]:
+    """Matching keys of a company record, null where it has none."""
     domain = urls.registrable_domain(F.coalesce(F.col("website"), F.col("domain")))
     phone = P.phone_key(F.coalesce(F.col("phone"), F.col("phone_international")))
-    keys = F.filter(
-        F.array(
-            F.concat(F.lit("id:"), F.col("place_id")),
-            F.concat(F.lit("domain:"), domain),
-            F.concat(F.lit("phone:"), phone),
-        ),
-        lambda k: k.isNotNull(),
-    )
+    return [F.concat(F.lit("id:"), F.col("place_id")), F.concat(F.lit("domain:"), domain), F.concat(F.lit("phone:"), phone)]
+
+
+def record_keys(companies: DataFrame, record: str = "ord") -> DataFrame:
+    """record, token: one row per matching key of a company record."""
+    keys = F.filter(F.array(*_keys()), lambda k: k.isNotNull())
     return companies.select(F.col(record).alias("record"), F.explode(keys).alias("token"))
 
 
@@ -81,15 +79,22 @@ def merge_records(rows: DataFrame, cluster: str = "cluster", order: str = "ord",
     out = rows.groupBy(cluster).agg(*[first_by(filled(c), at).alias(c) for c in fields], F.min(at).alias(order))
     if joined is None:
         return out
+    return out.join(_search_terms(rows, cluster, order, joined), cluster, "left")
+
+
+def _search_terms(rows: DataFrame, cluster: str, order: str, joined: str) -> DataFrame:
+    """The distinct terms of each cluster, in first-seen order, as one text ``joined``."""
     # distinct per cluster before joining: the list is no longer than the list of search terms
     terms = (
-        rows.select(cluster, order, F.posexplode(F.split(joined, r"\|")).alias("no", "term"))
+        rows.groupBy(cluster, joined)
+        .agg(F.min(order).alias(order))
+        .select(cluster, order, F.posexplode(F.split(joined, r"\|")).alias("no", "term"))
         .select(cluster, F.struct(order, "no").alias("at"), blank_to_null(F.col("term")).alias("term"))
         .where("term is not null")
         .groupBy(cluster, "term")
         .agg(F.min("at").alias("at"))
     )
-    return out.join(join_in_order(terms, [cluster], "term", "at", " | ", joined), cluster, "left")
+    return join_in_order(terms, [cluster], "term", "at", " | ", joined)
 
 
 def join_in_order(rows: DataFrame, keys: list[str], value: str, order: str, separator: str, out: str) -> DataFrame:
@@ -100,12 +105,32 @@ def join_in_order(rows: DataFrame, keys: list[str], value: str, order: str, sepa
 
 
 def dedupe_companies(companies: DataFrame) -> DataFrame:
-    """Resolved companies in first-seen order, with the domain filled from the website."""
+    """Resolved companies in first-seen order, with the domain filled from the website.
+
+    Most hits of a place say the same: records that differ in nothing but ``ord`` and ``query`` are one row from the start,
+    named by the first of them. Only these rows are linked and merged. The search terms of all records follow by one
+    key each.
+    """
     domain = urls.registrable_domain(F.coalesce(F.col("website"), F.col("domain")))
-    # written once: the keys and both halves of the merge read it
-    staged = write_stage(companies.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), domain)), "companies")
-    linked = clusters(record_keys(staged)).withColumnRenamed("record", "ord")
-    return merge_records(staged.join(linked.hint("merge"), "ord")).drop("cluster")
+    filled = companies.where("ord is not null").withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), domain))
+    # written once: the folded rows and the search terms read it
+    staged = write_stage(filled, "companies")
+    # records of the same ``ord`` are one, whatever they say; so they are not named by others
+    again = write_stage(staged.groupBy("ord").agg(F.count("*").alias("n")).where("n > 1").select("ord", F.col("ord").alias("_again")), "companies-again")
+    repeated = not again.isEmpty()
+    marked = staged.hint("merge").join(again, "ord", "left") if repeated else staged.withColumn("_again", F.lit(None).cast("long"))
+    same = [c for c in marked.columns if c not in ("ord", "query")]
+    folded = write_stage(marked.groupBy(*same).agg(F.min("ord").alias("ord")), "companies-folded")
+    linked = write_stage(clusters(record_keys(folded)).withColumnRenamed("record", "ord"), "companies-linked")
+    merged = merge_records(folded.drop("_again").hint("merge").join(linked.hint("merge"), "ord"), joined=None)
+
+    token = F.coalesce(*_keys()).alias("_token")
+    named = folded.select("ord", token).where("_token is not null").hint("merge").join(linked.hint("merge"), "ord").select("_token", "cluster").distinct()
+    single = marked.where("_again is null").select("ord", "query", token).where("_token is not null")
+    asked = single.hint("merge").join(named.hint("merge"), "_token").select("cluster", "ord", "query")
+    if repeated:
+        asked = asked.unionByName(marked.where("_again is not null").hint("merge").join(linked.hint("merge"), "ord").select("cluster", "ord", "query"))
+    return merged.hint("merge").join(_search_terms(asked, "cluster", "ord", "query").hint("merge"), "cluster", "left").drop("cluster")
 
 
 def _settled(records: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:

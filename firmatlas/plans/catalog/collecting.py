@@ -13,7 +13,7 @@ from firmatlas.operators.exclusion import exclusion_reasons
 from firmatlas.operators.resolve import unseen
 from firmatlas.plans import collect as CL
 from firmatlas.plans.catalog.base import query, sql_host, table
-from firmatlas.session import checkpoint_dir
+from firmatlas.session import checkpoint_dir, spread
 
 _PART = "struct<longText:string,shortText:string,types:array<string>,languageCode:string>"
 _LIMIT = 45
@@ -38,7 +38,8 @@ def _answers(spark, sf):
             F.lit(None).cast("int").alias("userRatingCount"), F.lit("OPERATIONAL").alias("businessStatus"), F.lit("").alias("googleMapsUri"),
         )
 
-    pages = table(spark, sf, "customer").select(k, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page_no"))
+    # dealt before: the customers of all searches may be one split
+    pages = spread(table(spark, sf, "customer").select(k), "c_custkey").select(k, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page_no"))
     places = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: place(F.col("page_no"), i))
     return pages.select(k.alias("task_no"), "page_no", F.concat(F.lit("Suche "), (k % 7).cast("string")).alias("query"), places.alias("places"))
 

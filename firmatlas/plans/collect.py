@@ -26,14 +26,14 @@ def search_hits(answers: DataFrame, most: int = MOST_HITS) -> DataFrame:
     """Company rows of all answers, the first ``most`` usable ones of each search.
 
     ``answers``: task_no, page_no (from 0), query, places (array, as in ``sources.readers.PLACES_SCHEMA``). ``ord`` is
-    made of task, page and position, so it doesn't depend on how Spark splits the input. Hits are read by all cores.
+    made of task, page and position, so it doesn't depend on how Spark splits the input. Hits are read by all cores: the
+    answers are dealt once, by search, so that the usable places of a search are picked where they are read.
     """
-    answers = spread(answers, "task_no", "page_no")
-    rows = answers.select("task_no", "page_no", "query", F.posexplode_outer("places").alias("_no", "place")).where("_no is not null")  # an inner explode would compute the array twice
-    order = hit_order(F.col("task_no"), F.col("page_no"), F.col("_no"))
-    usable = companies_from_places(rows, F.col("query"), order)
-    task = F.shiftright("ord", PAGE_BITS + HIT_BITS)
-    return top_rows(usable.withColumn("_task", task), ["_task"], [F.col("ord")], min(most, MOST_HITS), "_hit").drop("_task", "_hit")
+    answers = spread(answers.withColumn("_task", F.col("task_no").cast("long")), "_task")
+    rows = answers.select("_task", "page_no", "query", F.posexplode_outer("places").alias("_no", "place")).where("_no is not null")  # an inner explode would compute the array twice
+    order = hit_order(F.col("_task"), F.col("page_no"), F.col("_no"))
+    usable = companies_from_places(rows, F.col("query"), order, keep=("_task",))
+    return top_rows(usable, ["_task"], [F.col("ord")], min(most, MOST_HITS), "_hit").drop("_task", "_hit")
 
 
 def union_hits(hits: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from firmatlas.plans import collect as CL
 from firmatlas.plans.catalog.lifecycle import ROCKS, STORE
 from firmatlas.sinks.meta import observed, observed_meta
 from firmatlas.sinks.tables import lead_counts, run_meta
-from firmatlas.sources.readers import PLACES_SCHEMA, prepare_pages
+from firmatlas.sources.readers import PLACES_SCHEMA, prepare_pages, with_company_columns
 from firmatlas.sources.spec import build_spec
 from firmatlas.streaming.published import Published
 from firmatlas.streaming.ttl import lifetimes
@@ -112,6 +112,26 @@ def test_chains_are_settled_through_shorter_lists(spark, monkeypatch):
     assert got.columns == batch.columns and sorted(r.ord for r in got.collect()) == in_order(rows)
 
 
+def test_records_that_say_the_same_are_linked_once(spark, monkeypatch):
+    linked, whole = [], RS.clusters
+    monkeypatch.setattr(RS, "clusters", lambda pairs: linked.append(pairs.count()) or whole(pairs))
+    rows = [("a", "A", "https://a.de", None, f"q{i % 3}|q3", i) for i in range(40)] + [("b", "B", "https://www.a.de/x", "50667", "q9", 50), ("c", "C", None, None, "q1", 51), (None, "no key", None, None, "q1", 52)]
+    make = lambda listed: with_company_columns(spark.createDataFrame(listed, "place_id string, name string, website string, plz string, query string, ord long"))
+    got = sorted((r.ord, r.place_id, r.name, r.plz, r.domain, r["query"]) for r in RS.dedupe_companies(make(rows)).collect())
+    assert got == [(0, "a", "A", "50667", "a.de", "q0 | q3 | q1 | q2 | q9"), (51, "c", "C", None, None, "q1")]
+    assert linked == [5]  # rows of three places: not one for each record
+    # records of one number are one record, whatever they say; a row without a key goes with its number
+    rows += [("d", "D", None, None, "q7", 51), (None, "no key", None, "1", "q8", 51), ("e", "E", None, None, None, None)]
+    got = sorted((r.ord, r.plz, r["query"]) for r in RS.dedupe_companies(make(rows)).collect())
+    assert got[0] == (0, "50667", "q0 | q3 | q1 | q2 | q9") and got[1][:2] == (51, "1") and sorted(got[1][2].split(" | ")) == ["q1", "q7", "q8"] and len(got) == 2
+
+
+def test_answers_are_dealt_once(spark):
+    answers = spark.createDataFrame([], f"task_no long, page_no int, query string, {PLACES_SCHEMA.partition(', ')[2]}")
+    plan = CL.search_hits(answers)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
 # entities
 
 
